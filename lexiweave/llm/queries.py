@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, packing, token_files
+from . import exact_dedup, jaccard_join, language, mixing, packing, token_files
 from .shared import table
 
 
@@ -32,3 +32,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(language.with_fold(docs.select("doc_id", "text")), language.fit(docs))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.shingle_components(table(spark, sf_dir, "documents"), width=4, percent=85)
