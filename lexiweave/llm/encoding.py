@@ -19,6 +19,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 #: Unicode White_Space, as character-class text.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -78,7 +79,7 @@ class Encoder:
 
     def _learn(self, known: _Known, segments: set[str], prefix: str = "") -> None:
         known.extra = {}
-        new = list(segments.difference(known))
+        new = list(filterfalse(known.__contains__, segments))  # set.difference would walk all of a dict subclass
         into = known if len(known) + len(new) <= KEEP else known.extra
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
