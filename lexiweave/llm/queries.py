@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard_join, language, mixing, packing, quotations, token_counts, token_files
+from . import embedding_dedup, exact_dedup, jaccard_join, language, licenses, mixing, packing, quotations, token_counts, token_files
 from .shared import table
 
 
@@ -48,3 +48,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.reply_order(table(spark, sf_dir, "conversations"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
