@@ -48,7 +48,7 @@ TEMPLATES = {
     "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU LGPL version 3."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Licensed under the MIT License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0."],
-    "proprietary": ["All rights reserved. No part of this document may be reproduced without prior written permission.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this document may be reproduced without prior written permission.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."],
 }
 PROSE = "prose"
 
@@ -163,12 +163,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
 def score(model: Classifier, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(class probabilities of each paragraph, byte starts of the paragraphs)."""
     bucket, paragraph, starts = features(data)
+    once = np.unique(paragraph << BUCKET_BITS | bucket)  # as in the fit, an n-gram counts once a paragraph
+    bucket, paragraph = once & ((1 << BUCKET_BITS) - 1), once >> BUCKET_BITS
     n = np.bincount(paragraph, minlength=len(starts))
     z = np.zeros((len(starts), len(model.families)), np.float32)
     if len(bucket):
-        order = np.argsort(paragraph, kind="stable")
         first = np.concatenate([[0], np.cumsum(n)[:-1]])[n > 0]
-        z[n > 0] = np.add.reduceat(model.weights[bucket[order]], first, axis=0)
+        z[n > 0] = np.add.reduceat(model.weights[bucket], first, axis=0)
     z = (z / np.sqrt(np.maximum(1, n))[:, None] + model.bias) / model.temperature
     z[n == 0, :-1] = -np.inf
     p = np.exp(z - z.max(axis=1, keepdims=True))
