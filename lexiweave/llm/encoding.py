@@ -32,8 +32,8 @@ BARE = re.compile(f"[^{WHITE}]+")
 CUT = re.compile(f"(?<=[^{WHITE}])[ \n](?=[^{WHITE}])")
 
 #: Segments that a worker keeps (some 200 bytes each), and characters that it encodes at a time.
-KEEP = 800_000
-CHARS = 1_000_000
+KEEP = 500_000
+CHARS = 300_000
 
 
 class _Known(dict):
@@ -142,6 +142,18 @@ class Encoder:
             yield from self._batch(held)
 
 
+#: Rows of an Arrow batch whose texts stand as Python strings at a time.
+ROWS = 256
+
+
+def encoded(batch, enc: Encoder) -> Iterator[tuple]:
+    """(doc_id, text, ids) of an Arrow batch of (doc_id, text), a slice at a time."""
+    for i in range(0, batch.num_rows, ROWS):
+        part = batch.slice(i, ROWS)
+        texts = part.column(1).to_pylist()
+        yield from zip(part.column(0).to_pylist(), texts, enc.encode(texts))
+
+
 _encoders: dict[str, Encoder] = {}
 
 

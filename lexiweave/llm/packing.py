@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import encoded, encoder
 from .shared import ship, written
 
 SEQUENCE = 1024
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SEQU
 
         for batch in batches:
             rows = []
-            for doc, got in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc, _, got in encoded(batch, enc):
                 ids = memoryview(got + end)
                 n, at = len(ids) // 4, 0
                 for length in binary_lengths(n, longest):

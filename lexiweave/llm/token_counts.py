@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import Encoder, encoder
+from .encoding import Encoder, encoded, encoder
 from .shared import ship
 
 _lengths: dict[str, np.ndarray] = {}
@@ -67,8 +67,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, cut: Callable[[bytes], np.nd
         width = token_bytes(enc, tokenizer)
         for batch in batches:
             held, rows = [], 0
-            texts = batch.column(1).to_pylist()
-            for doc, text, ids in zip(batch.column(0).to_pylist(), texts, enc.encode(texts)):
+            for doc, text, ids in encoded(batch, enc):
                 bounds = cut((text or "").encode("utf-8", "surrogatepass"))
                 ends = np.cumsum(width[np.frombuffer(ids, "<u4")])
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends

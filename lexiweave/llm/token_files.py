@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import encoded, encoder
 from .shared import new_folder, ship, written
 
 LENGTH = 2048
@@ -149,7 +149,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, l
         context, out = TaskContext.get(), None
         enc = encoder(tokenizer)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc_id, _, ids in encoded(batch, enc):
                 out = out or ShardWriter(folder, f"shard-{context.partitionId():06d}-{context.taskAttemptId()}", 2 if enc.vocab_size <= 65536 else 4, length)
                 out.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if out:
