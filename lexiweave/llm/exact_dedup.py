@@ -85,9 +85,10 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs without all but the copy with the largest doc_id of each text; rows that repeat a kept doc_id
-    with the same text go too. Columns as in docs; doc_id identifies a document."""
-    found = exact_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "inner").drop(found["doc_id"])
+    with the same text go too. Columns as in docs; doc_id identifies a document, a row without one is known by its text."""
+    found = exact_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("text_sha256")).alias("_sha")).agg(F.count("*").alias("_rows"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_sha").isNull() | (F.col("_sha") == F.sha2(normalised(docs["text"]), 256)))
+    kept = docs.join(found, same, "inner").drop("_id", "_sha")
     once = kept.where("_rows = 1").drop("_rows")
     again = kept.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)

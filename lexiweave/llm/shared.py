@@ -110,7 +110,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star steps in turn (Kiveris et al. 2014) until the edge set repeats. Each
     step points every neighbour at the smallest one, so a hub's list shrinks to one edge per node;
     minima are pre-aggregated before the shuffle. The state is written to the shared folder each
-    round, the driver sees only two sums. Nodes without edges are absent. Self-edges are ignored."""
+    round, the driver sees only two sums. A component's smallest node and nodes without edges have no row. Self-edges are ignored."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
