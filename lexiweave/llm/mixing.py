@@ -130,6 +130,7 @@ def mix(docs: DataFrame, weights: list[float], factor: float = 1.5, passes: int
     first = F.greatest(F.col("_from"), F.col("rank") * block)
     last = F.least(F.col("_from") + F.col("size"), F.col("rank") * block + F.col("words"))
     pieces = pieces.select("slot", "source_no", F.col("begins").alias("_at"), "doc_id", (first - F.col("_from")).alias("begins"), (last - first).alias("words")).where("words > 0")
-    got = pieces.groupBy("source_no", F.col("_at").alias("begins"), "doc_id").agg(F.sum("words").alias("taken"))
-    taken = stream.join(got.withColumn("size_", F.lit(1)).drop("size_"), ["source_no", "begins", "doc_id"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    # a place in a source's stream is one document, besides documents without words
+    got = pieces.groupBy("source_no", F.col("_at").alias("begins")).agg(F.sum("words").alias("taken"))
+    taken = stream.join(got, ["source_no", "begins"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
     return taken.select("doc_id", "size", "source", "source_size", "target", "taken"), pieces
