@@ -36,10 +36,6 @@ def _body(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")
 
 
-def _key(*columns: str) -> Column:
-    return F.xxhash64(*columns)
-
-
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, msg, passage, level, hash, lines (hashes): the quoted passages of messages(conv_id, turn, msg, lines)."""
     quoting = messages.where(F.exists("lines", lambda x: x.rlike(MARK))).dropDuplicates(["conv_id", "turn", "msg"])
@@ -104,6 +100,7 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     per = linked.groupBy("conv_id", "turn", "msg").agg(F.count("*").alias("n_quoted"), F.count("from_turn").alias("n_linked"), one)
     per = written(per.select("conv_id", "turn", "msg", "n_quoted", "n_linked", F.col("r.from_conv").alias("reply_conv"), F.col("r.from_turn").alias("reply_turn"), F.lit(1).alias("rows_")), "quote-replies")
     deep = threads(per.where("reply_conv = conv_id and reply_turn < turn").select("conv_id", "turn", F.col("reply_turn").alias("parent")))
-    full = attach(bodies, per, ["conv_id", "turn", "msg"], "rows_").drop("rows_")
+    mid = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("conv_id", "turn", "msg")])  # nulls match too
+    full = attach(bodies.withColumn("mid", mid), per.withColumn("mid", mid).drop("conv_id", "turn", "msg"), ["mid"], "rows_").drop("rows_", "mid")
     full = attach(full, deep.withColumn("rows_", F.lit(1)), ["conv_id", "turn"], "rows_")
     return full.select("conv_id", "turn", "role", "body", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_conv", "reply_turn", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
