@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix="lexiweave-code-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(archive := f"{folder}/lexiweave_graph.zip", "w") as z:
+    with zipfile.ZipFile(archive := f"{folder}/lexiweave.zip", "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")
     spark.sparkContext.addPyFile(archive)
@@ -36,13 +36,27 @@ def root(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="lexiweave-graph-"))
+        _own.append(tempfile.mkdtemp(prefix="lexiweave-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return "file://" + _own[0]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{root(spark)}/lexiweave/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{root(spark)}/lexiweave/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table made by written() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import drop_written, written
 from ..functions.words import is_trap
 from ..graph import WordGraph
 
@@ -28,13 +28,16 @@ def pagerank(graph: WordGraph, trap_bias: float = 1.5, damping: float = 0.85, ma
     moves = written(biased.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")), "rank-moves")
     ranks = words.select("word", "is_source", F.lit(1.0 / n).alias("pagerank"))
     dangling = words.where(~F.col("is_source")).count() / n
+    old = None
     for _ in range(max_iterations):
         base = (1.0 - damping) / n + damping * dangling / n
         pushed = moves.join(ranks.select(F.col("word").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("word")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
         new = ranks.join(pushed, "word", "left").select("word", "is_source", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("pagerank"), F.col("pagerank").alias("before"))
         new = written(new, "ranks")
         change, dangling = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("before"))), F.coalesce(F.sum(F.when(~F.col("is_source"), F.col("pagerank"))), F.lit(0.0))).first()
-        ranks = new.drop("before")
+        if old is not None:
+            drop_written(old)
+        ranks, old = new.drop("before"), new
         if tolerance and change < tolerance:
             break
     whole = ranks.agg(F.sum("pagerank")).first()[0]
