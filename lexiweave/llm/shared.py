@@ -1,84 +1,24 @@
-"""What the corpus operators share: the shared folder, written tables, skew-safe joins, components."""
+"""What the corpus operators share: tables, skew-safe joins, components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import drop_written, new_folder, ship, written
+
+__all__ = ["attach", "components", "drop_written", "new_folder", "semi_by_key", "ship", "table", "written"]
+
 #: Rows up to which a table of a few longs may be broadcast (some 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: A key is hot when it holds more than one in HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot keys.
 HOT_PARTS = 256
 
-_own_root: list[str] = []
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of all executors, once per Spark application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="lexiweave-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(archive := f"{folder}/lexiweave.zip", "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="lexiweave-"))
-        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
-    return "file://" + _own_root[0]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lexiweave/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.written_path = path
-    return found
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def semi_by_key(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """rows whose `on` is among keys. The keys go out as a broadcast only if their count is under
     BROADCAST_ROWS; otherwise both sides shuffle (and adaptive execution splits skewed keys)."""
