@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in ("analyze", "word", "recommend", "export"):
         p = sub.add_parser(name)
         p.add_argument("csv")
+        p.add_argument("--iterations", type=int, default=100, help="PageRank rounds at most")
         if name in ("word", "recommend"):
             p.add_argument("word")
         if name in ("analyze", "recommend"):
@@ -31,16 +32,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument("output")
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("lexiweave").getOrCreate()
-    graph = WordGraph(read_edge_csv(spark, args.csv))
+    graph, rank = WordGraph(read_edge_csv(spark, args.csv)), {"max_iterations": args.iterations}
     if args.command == "analyze":
         summary = metrics.graph_summary(graph)
         print(format_table(summary.columns, _rows(summary)))
-        best = ranking.rank_words(graph, args.top)
-        rows = _rows(best.join(ranking.word_analysis(graph).drop("composite", "top_neighbors"), "word").orderBy(F.col("composite").desc(), "word"))
+        best = ranking.rank_words(graph, args.top, **rank)
+        rows = _rows(best.join(ranking.word_analysis(graph, **rank).drop("composite", "top_neighbors"), "word").orderBy(F.col("composite").desc(), "word"))
         print(f"Top {len(rows)} words\n" + format_table(["word", "composite", "neighbors", "out_sum", "one_step", "hardness", "richness", "pagerank"], rows))
         return 0
     if args.command == "export":
-        write_csv(ranking.export_scores(graph), args.output)
+        write_csv(ranking.export_scores(graph, **rank), args.output)
         print(f"Scores written to {args.output}")
         return 0
     word = args.word.lower()
@@ -48,10 +49,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"Word not found: {word}")
         return 1
     if args.command == "word":
-        found = ranking.word_analysis(graph).where(F.col("word") == word)
+        found = ranking.word_analysis(graph, **rank).where(F.col("word") == word)
         print(format_table(found.columns, _rows(found)))
     else:
-        found = ranking.recommend(graph, spark.createDataFrame([(word,)], "word string"), args.top)
+        found = ranking.recommend(graph, spark.createDataFrame([(word,)], "word string"), args.top, **rank)
         print(format_table(found.columns, _rows(found)) or "No safe next word")
     return 0
 

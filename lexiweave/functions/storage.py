@@ -42,7 +42,13 @@ def root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/lexiweave/{name}-{uuid.uuid4().hex}"
+    return f"{root(spark)}/lexiweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything that this application has written into the shared folder; results that still read from there are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/lexiweave/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

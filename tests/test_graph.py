@@ -37,7 +37,7 @@ def test_scores_values(spark):
 def test_sample_and_star_scores(spark):
     s = as_map(ranking.scores(WordGraph.from_dict(spark, SAMPLE)), "word", "composite", "pagerank")
     assert s["color"] == (pytest.approx(0.455121, abs=1e-6), pytest.approx(0.161443, abs=1e-6))
-    ranked = [r["word"] for r in ranking.rank_words(WordGraph.from_dict(spark, SAMPLE), 3).collect()]
+    ranked = [r["word"] for r in ranking.rank_words(WordGraph.from_dict(spark, SAMPLE), 3, max_iterations=12).collect()]
     assert ranked == ["color", "blue"]
     star = as_map(ranking.scores(WordGraph.from_dict(spark, STAR)), "word", "composite", "pagerank", "one_step")
     assert star["center"] == (pytest.approx(0.258777, abs=1e-6), pytest.approx(0.206186, abs=1e-6), pytest.approx(0.2))
@@ -166,6 +166,6 @@ def test_strategy_and_games(spark):
     assert a == sorted(map(tuple, simulation.simulate_games(g, 4, "greedy", "random", 6).collect())) and sum(r[1] for r in a) == 4
     t = simulation.tournament(g, ("greedy", "avoid"), 3, 5).collect()
     assert {r["played"] for r in t} == {6}
-    assert simulation.strategic_game(g, "cat", 3).count() >= 2
+    assert simulation.strategic_game(g, "cat", 3, max_iterations=3).count() >= 2
     assert strategy.analyze(g, word, 3).first()["path_count"] >= 1
-    assert strategy.multistep_recommend(g, word).count() == 2
+    assert strategy.multistep_recommend(g, word, max_iterations=3).count() == 2

@@ -71,12 +71,12 @@ def test_feed(spark, tmp_path):
 def test_cli(spark, tmp_path, capsys, args, code, text):
     f = tmp_path / "e.csv"
     f.write_text("src,dst,weight\nstart,color,1\ncolor,red,2\ncolor,blue,1\nred,stop,1\nblue,go,1\n")
-    assert cli.main([a.format(f=f) for a in args], spark) == code
+    assert cli.main([*(a.format(f=f) for a in args), "--iterations", "12"], spark) == code
     assert text in capsys.readouterr().out
 
 
 def test_cli_export(spark, tmp_path):
     f = tmp_path / "e.csv"
     f.write_text("src,dst,weight\ncolor,red,2\ncolor,blue,1\n")
-    assert cli.main(["export", str(f), str(tmp_path / "out")], spark) == 0
+    assert cli.main(["export", str(f), str(tmp_path / "out"), "--iterations", "2"], spark) == 0
     assert spark.read.csv(str(tmp_path / "out"), header=True).columns[:2] == ["word", "composite_score"]
