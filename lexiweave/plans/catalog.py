@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.words import is_trap
 from ..graph import WordGraph
-from ..operators import merging, metrics, multistep, pagerank, paths, ranking, reduction, simulation, strategy
+from ..operators import merging, metrics, multistep, pagerank, paths, ranking, reduction, reports, simulation, strategy
 from ..operators.merging import ARTICLES, CONJUNCTIONS
 from ..operators.metrics import FUNCTION_WORDS
 from ..sources import edges as sources
@@ -70,6 +70,14 @@ def _words(spark, d, names=START) -> DataFrame:
     return spark.createDataFrame([(w,) for w in names], "word string")
 
 
+def _positions(s, d):
+    """Every word as a first position, scored by a fixed network."""
+    g = graph(s, d)
+    rows = reports.playable_moves(g).select("word", F.array("word").alias("history"), "moves")
+    f = reports.position_features(rows, g.letters)
+    return _r(f.select("word", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(6)], reports.network_score(F.col("features"), [((7 * k) % 13 - 6) / 20 for k in range(33)]).alias("score")))
+
+
 def _entropy(s, d):
     return _r(multistep.entropies(graph(s, d)))
 
@@ -151,6 +159,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "betweenness_sampled": lambda s, d: reduction.betweenness(g(s, d), 16),
         "edge_importance": lambda s, d: _r(reduction.edge_importance(g(s, d), pagerank.pagerank(g(s, d), trap_bias=1.0, **ITERATIONS), g(s, d).words.select("word", F.lit(0.0).alias("betweenness")))),
         "reduce_edges": lambda s, d: reduction.reduce_edges(g(s, d), 0.3, 16, 20),
+        # reports
+        "trap_effectiveness": lambda s, d: _r(reports.trap_effectiveness(g(s, d))),
+        "degrees": lambda s, d: reports.degrees(g(s, d)),
+        "average_degree": lambda s, d: _r(reports.average_degree(g(s, d))),
+        "word_details": lambda s, d: _r(reports.word_details(g(s, d))),
+        "playable_moves": lambda s, d: reports.playable_moves(g(s, d)).select("word", F.array_join("moves", " ").alias("moves")),
+        "position_scores": _positions,
+        "weighted_choice": lambda s, d: reports.weighted_choice(g(s, d), _words(s, d)),
+        "trap_potential": lambda s, d: reports.trap_potential(g(s, d), _words(s, d).select(F.col("word").alias("start")).crossJoin(_words(s, d, ("the", "la", "der")).select(F.col("word").alias("target"))), 3),
         # strategy and simulation
         "self_safety": lambda s, d: _r(strategy.self_safety(g(s, d), 3)),
         "opponent_danger": lambda s, d: _r(strategy.opponent_danger(g(s, d), 3)),

@@ -161,6 +161,21 @@ def build(function_words, stop_words, starts) -> dict[str, str]:
         "greedy_move": e + "SELECT src AS word, dst AS move FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) = 1",
         "avoid_move_score": f"WITH {EDGES}{MOVES}, s AS (SELECT src AS word, coalesce(sum(p) FILTER (WHERE trap), 0) AS share FROM moves GROUP BY src) SELECT src, dst, round(weight * (1 + coalesce(share, 0)), 9) AS score FROM moves LEFT JOIN s ON word = dst",
     }
+    q["trap_effectiveness"] = mv + ", h0 AS (SELECT word, is_trap::INTEGER::DOUBLE AS p FROM words)" + "".join(f", h{i} AS MATERIALIZED (SELECT w.word, CASE WHEN is_trap THEN 1 ELSE coalesce(x.q, 0) END AS p FROM words w LEFT JOIN (SELECT src, sum(m.p * h.p) AS q FROM moves m JOIN h{i-1} h ON h.word = m.dst GROUP BY src) x ON x.src = w.word)" for i in (1, 2)) + """,
+        o AS (SELECT src, coalesce(sum(p) FILTER (WHERE trap), 0) AS one_step, count(*) AS n FROM moves GROUP BY src)
+        SELECT w.word, round(coalesce(one_step, 0), 9)::DOUBLE AS one_step, round(h2.p, 9)::DOUBLE AS k_step, coalesce(n, 0) AS connectivity, is_trap, round(0.7::DOUBLE * coalesce(one_step, 0) + 0.3::DOUBLE * h2.p, 9)::DOUBLE AS combined
+        FROM words w JOIN h2 ON h2.word = w.word LEFT JOIN o ON src = w.word"""
+    q["degrees"] = e + "SELECT word, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS word, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY word"
+    q["average_degree"] = ew + "SELECT round(2::DOUBLE * e / v, 9) AS both_ends, round(e::DOUBLE / v, 9) AS one_end FROM (SELECT count(*) AS e FROM edges), (SELECT count(*) AS v FROM words)"
+    q["word_details"] = e + """, i AS (SELECT dst, src FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) = 1), t AS (SELECT src, dst FROM edges WHERE left(dst, 1) IN ('r', 's', 't') QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) = 1),
+        o AS (SELECT src AS word, count(*) AS degree, min(weight) AS min_weight, max(weight) AS max_weight, sum(weight) / count(*) AS mean_weight FROM edges GROUP BY src)
+        SELECT word, degree, left(word, 1) IN ('r', 's', 't') AS is_trap, min_weight, max_weight, round(mean_weight, 9) AS mean_weight, t.dst AS top_trap, i.src AS top_incoming FROM o LEFT JOIN t ON t.src = word LEFT JOIN i ON i.dst = word"""
+    playable = e + ", k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges WHERE left(dst, 1) NOT IN ('r', 's', 't') QUALIFY n <= 8)"
+    q["playable_moves"] = playable + " SELECT src AS word, string_agg(dst, ' ' ORDER BY n) AS moves FROM k GROUP BY src"
+    wts = [((7 * k) % 13 - 6) / 20 for k in range(33)]
+    feats = ["1::DOUBLE", "0::DOUBLE", "count(*)::DOUBLE", "length(src)::DOUBLE", "(left(src, 1) IN ('r', 's', 't'))::INTEGER::DOUBLE", "(left(src, 1) IN ('r', 's', 't'))::INTEGER::DOUBLE"]
+    hidden = [f"greatest(0::DOUBLE, {wts[24 + h]}::DOUBLE" + "".join(f" + f{i} * {wts[h * 6 + i]}::DOUBLE" for i in range(6)) + f") * {wts[28 + h]}::DOUBLE" for h in range(4)]
+    q["position_scores"] = playable + ", p AS (SELECT src AS word, " + ", ".join(f"{x} AS f{i}" for i, x in enumerate(feats)) + f" FROM k GROUP BY src) SELECT *, round(1::DOUBLE / (1 + exp(-({wts[32]}::DOUBLE + {' + '.join(hidden)}))), 9) AS score FROM p"
     walk = e + f""", v AS MATERIALIZED (SELECT src, dst, weight, left(dst, 1) IN ('r', 's', 't') AS trap FROM edges WHERE weight >= 2),
         w1 AS MATERIALIZED (SELECT src AS word, dst AS here, [dst] AS path, weight AS total_weight, trap FROM v WHERE src IN {go}),
         w2 AS MATERIALIZED (SELECT word, dst AS here, list_append(path, dst) AS path, total_weight + weight AS total_weight, v.trap FROM w1 JOIN v ON v.src = w1.here WHERE NOT w1.trap AND (v.trap OR NOT list_contains(path, dst))),
