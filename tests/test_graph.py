@@ -169,3 +169,25 @@ def test_strategy_and_games(spark):
     assert simulation.strategic_game(g, "cat", 3, max_iterations=3).count() >= 2
     assert strategy.analyze(g, word, 3).first()["path_count"] >= 1
     assert strategy.multistep_recommend(g, word, max_iterations=3).count() == 2
+
+
+def test_reports(spark):
+    from lexiweave.operators import reports
+
+    g = WordGraph.from_dict(spark, SAMPLE)
+    eff = {r["word"]: r["combined"] for r in reports.trap_effectiveness(g, 2).collect()}
+    assert eff["color"] == pytest.approx(0.7 * 2 / 3 + 0.3 * 2 / 3) and eff["red"] == pytest.approx(1.0) and eff["go"] == 0
+    assert as_map(reports.degrees(g), "word", "out_degree", "in_degree")["red"] == (1, 1)
+    p = reports.position_features(spark.createDataFrame([("sun", ["sun", "cat"], ["rat", "dog"]), ("cat", [], [])], "word string, history array<string>, moves array<string>"), g.letters)
+    f = {r["word"]: r["features"] for r in p.collect()}
+    assert f["sun"] == [2, 0.5, 2, 3, 1, 0.5] and f["cat"] == [0, 1, 0, 3, 0, 0]
+    s = p.select("word", reports.network_score(F.col("features"), [0.1] * 33).alias("s")).collect()
+    import math
+
+    hidden = 0.1 + 0.1 * sum(f["sun"])
+    assert {r["word"]: r["s"] for r in s}["sun"] == pytest.approx(1 / (1 + math.exp(-(0.1 + 4 * 0.1 * hidden))))
+    draw = reports.weighted_choice(WordGraph.from_dict(spark, {f"w{i}": {"a": 9.0, "b": 1.0} for i in range(400)}), spark.createDataFrame([("zzz",)], "word string"))
+    share = draw.where("move = 'a'").count() / 400
+    assert 0.82 < share < 0.97
+    label = {r["target"]: r["label"] for r in reports.trap_potential(g, spark.createDataFrame([("start", "color"), ("start", "nowhere")], "start string, target string")).collect()}
+    assert label == {"color": "easy", "nowhere": "perfect trap"}
