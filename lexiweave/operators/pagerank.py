@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.storage import drop_written, written
@@ -33,8 +33,11 @@ def pagerank(graph: WordGraph, trap_bias: float = 1.5, damping: float = 0.85, ma
         base = (1.0 - damping) / n + damping * dangling / n
         pushed = moves.join(ranks.select(F.col("word").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("word")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
         new = ranks.join(pushed, "word", "left").select("word", "is_source", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("pagerank"), F.col("pagerank").alias("before"))
-        new = written(new, "ranks")
-        change, dangling = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("before"))), F.coalesce(F.sum(F.when(~F.col("is_source"), F.col("pagerank"))), F.lit(0.0))).first()
+        # both sums are taken while the round is written
+        seen = Observation()
+        measured = new.observe(seen, F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("change"), F.sum(F.when(F.col("is_source"), 0.0).otherwise(F.col("pagerank"))).alias("dangling"))
+        new = written(measured, "ranks")
+        change, dangling = seen.get["change"], seen.get["dangling"]
         if old is not None:
             drop_written(old)
         ranks, old = new.drop("before"), new
