@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, components, ship, written
+from .shared import attach, components, ship, tidy, written
 
 THRESHOLD = 0.95
 #: Share of pairs just at the threshold that no table may bring together.
@@ -85,7 +85,7 @@ def keyed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
                         schema=schema,
                     )
 
-    return classes.select("node", "copies", "vector").mapInArrow(key, "t int, d int, key int, node long, copies long, keys binary, code binary, factor float, vector binary")
+    return classes.select("node", "copies", "vector").mapInArrow(tidy(key), "t int, d int, key int, node long, copies long, keys binary, code binary, factor float, vector binary")
 
 
 def links_of(group: pa.Table, threshold: float) -> pa.Table:
@@ -150,7 +150,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             data = [np.asarray(v, np.float64).tobytes() for v in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(data, pa.binary())], ["cls", "node", "copies", "vector"])
 
-    nodes = written(classes.select("cls", F.coalesce("vec_id", F.xxhash64("cls")).alias("node"), "copies", "embedding").mapInArrow(pack, "cls string, node long, copies long, vector binary"), "embed-classes")
+    nodes = written(classes.select("cls", F.coalesce("vec_id", F.xxhash64("cls")).alias("node"), "copies", "embedding").mapInArrow(tidy(pack), "cls string, node long, copies long, vector binary"), "embed-classes")
     tables, bits = plan(nodes.count(), threshold)
     spread = keyed(nodes, tables, bits)
     sizes = written(spread.groupBy("t", "d", "key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK_ROWS), "embed-large")

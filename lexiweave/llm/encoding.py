@@ -32,7 +32,7 @@ BARE = re.compile(f"[^{WHITE}]+")
 CUT = re.compile(f"(?<=[^{WHITE}])[ \n](?=[^{WHITE}])")
 
 #: Segments that a worker keeps (some 200 bytes each), and characters that it encodes at a time.
-KEEP = 500_000
+KEEP = 300_000
 CHARS = 300_000
 
 

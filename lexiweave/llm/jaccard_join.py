@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import attach, components, semi_by_key, ship, written
+from .shared import attach, components, semi_by_key, ship, tidy, written
 from .shingles import set_hash, shingle_sets
 
 #: Frequent shingles that are broadcast (12 bytes each), and documents that one must occur in.
@@ -88,7 +88,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
         keep = n >= MIN_DF
         return pa.table({"hash": h[keep].astype(np.int64), "df": n[keep].astype(np.int64)})
 
-    packed = docs.select("text").mapInArrow(gather, "part int, data binary")
+    packed = docs.select("text").mapInArrow(tidy(gather), "part int, data binary")
     counted = written(packed.groupBy("part").applyInArrow(count, "hash long, df long"), "jaccard-df")
     least = MIN_DF
     total = 0
@@ -165,7 +165,7 @@ def described(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray
                     rows.append((doc, len(s), set_hash(s), float((freq > 0).mean()), matches, first.view(np.int64), bitmap(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(describe, "doc_id long, n int, cls long, typical float, matches int, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(describe), "doc_id long, n int, cls long, typical float, matches int, prefix array<long>, bits binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep)], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 def may_link_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +206,7 @@ def may_link_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep)], ["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(tidy(check), "a long, b long")
 
 
 def block_candidates(rows: DataFrame, percent: int) -> DataFrame:

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import ship
+from .shared import ship, tidy
 
 SAMPLE_DOCS = 20_000
 BUCKET_BITS = 15
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
 
     counted: dict[str, object] = {}
     number: dict[str, int] = {}
-    for lang, n_docs, counts in rows.select("lang", "text").repartition(FIT_TASKS).mapInArrow(count, "lang string, n long, counts binary").toLocalIterator():
+    for lang, n_docs, counts in rows.select("lang", "text").repartition(FIT_TASKS).mapInArrow(tidy(count), "lang string, n long, counts binary").toLocalIterator():
         counted[lang] = counted.get(lang, 0) + np.frombuffer(counts, np.int64)
         number[lang] = number.get(lang, 0) + n_docs
     languages = tuple(sorted(counted))
@@ -152,8 +152,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(score_texts(shared.value, texts), columns=["lang_pred", "score"])
+    at = docs.columns.index("text")
 
-    return docs.withColumn("_found", predict(F.col("text").cast("string"))).select(*docs.columns, "_found.lang_pred", "_found.score")
+    def predict(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = score_texts(shared.value, part.column(at).cast(pa.string()).to_pylist())
+                lang, score = zip(*found)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(tidy(predict), schema)

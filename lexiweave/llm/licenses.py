@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import ship, tidy
 from .shingles import _hash_words, mix
 
 SAMPLE_DOCS = 400
@@ -217,4 +217,4 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, "doc_id long, n_paragraphs long, family string, probability double, similarity double, confirmed boolean, byte_start long, found string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(find), "doc_id long, n_paragraphs long, family string, probability double, similarity double, confirmed boolean, byte_start long, found string")

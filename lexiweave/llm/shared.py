@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import drop_written, new_folder, ship, written
 
-__all__ = ["attach", "components", "drop_written", "new_folder", "semi_by_key", "ship", "table", "written"]
+__all__ = ["attach", "components", "drop_written", "new_folder", "semi_by_key", "ship", "table", "tidy", "written"]
 
 #: Rows up to which a table of a few longs may be broadcast (some 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -15,6 +19,25 @@ BROADCAST_ROWS = 200_000
 HOT_PARTS = 256
 
 
+def tidy(task):
+    """A task over Arrow batches that hands its worker's freed memory back at the end; idle workers stay with their executor."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import Encoder, encoded, encoder
-from .shared import ship
+from .shared import ship, tidy
 
 _lengths: dict[str, np.ndarray] = {}
 
@@ -81,7 +81,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, cut: Callable[[bytes], np.nd
             if held:
                 yield _table(held, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, section long, byte_start long, byte_end long, n_tokens long, n_crossing long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(count), "doc_id long, section long, byte_start long, byte_end long, n_tokens long, n_crossing long")
 
 
 def _table(held: list, schema: pa.Schema) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoded, encoder
-from .shared import new_folder, ship, written
+from .shared import new_folder, ship, tidy, written
 
 LENGTH = 2048
 ROWS = 64
@@ -157,7 +157,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, l
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (context.partitionId(), out.tokens_path, out.index_path, out.n_docs, out.n_tokens)], ["shard", "tokens_path", "index_path", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return written(ordered.mapInArrow(tidy(write), MANIFEST), "token-manifest")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                 for i in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 20_000])], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, manifest.count())).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
