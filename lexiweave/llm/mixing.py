@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import attach, written
+from .shared import written
 
 #: Fractional part of the golden ratio, and of 2^20 times it.
 GOLDEN = 0.6180339887498949
