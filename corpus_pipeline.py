@@ -25,8 +25,8 @@ WEIGHTS, FACTOR, PASSES = [3.0, 1.0, 2.0], 1.5, 2
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no letter or no likely language."""
-    found = language.identify(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language.identify(docs, language.fit(docs), ("_language", "_posterior"))
+    return found.where((F.col("_language") != "und") & (F.col("_posterior") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
         keep = n >= MIN_DF
         return pa.table({"hash": h[keep].astype(np.int64), "df": n[keep].astype(np.int64)})
 
-    packed = docs.select("text").mapInArrow(tidy(gather), "part int, data binary")
+    packed = docs.select(F.col("text").cast("string")).mapInArrow(tidy(gather), "part int, data binary")
     counted = written(packed.groupBy("part").applyInArrow(count, "hash long, df long"), "jaccard-df")
     least = MIN_DF
     total = 0

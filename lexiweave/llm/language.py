@@ -147,8 +147,9 @@ def score_texts(model: Model, texts) -> list[tuple[str, float]]:
     return found
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; the matrix goes to each executor once."""
+def identify(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score; the matrix goes to each executor once. Columns of these names are replaced."""
+    docs = docs.drop(*into)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(i, 256)
                 found = score_texts(shared.value, part.column(at).cast(pa.string()).to_pylist())
                 lang, score = zip(*found)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, *into])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
     return docs.mapInArrow(tidy(predict), schema)
