@@ -4,10 +4,12 @@ Fit (on the driver, bounded): paragraphs made from the templates below by seeded
 documents as prose (those that share most of a template are left out). Features are hashed word 1- to 3-grams; a
 multinomial logistic regression with a prose class is fitted by gradient descent. A temperature and the probability under which a
 licence-like paragraph is ``unknown`` are set on edits and prose kept apart from the fit.
-Score: every paragraph (line) of every whole text; hashed n-grams gather rows of the weight matrix and are summed by paragraph
-in numpy. The matrix (2^15 x classes) is broadcast and does not grow with the corpus.
+Score: every paragraph (line) of every whole text, and every window of consecutive lines up to the next line without words that a
+template wrapped over lines can fill; hashed n-grams gather rows of the weight matrix and are summed by line and line break in numpy, windows
+add up their lines. The matrix (2^15 x classes) is broadcast and does not grow with the corpus.
 Confirm: a paragraph that is not prose is held against its family's templates by the share of a template's word pairs that it
 holds; a family counts as confirmed from ``CONFIRM`` on, and a paragraph of another family with a better match takes that family.
+A window is reported only where no better paragraph or window on the same lines says the same.
 
 Cases: a null or empty text has no paragraphs and no licence; ties go to the first family by name; repeated rows get equal answers; extra
 columns are ignored; an empty table gives no rows.
@@ -15,6 +17,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import re
 from dataclasses import dataclass
@@ -36,7 +39,7 @@ SCORE_BYTES = 1 << 17
 
 # Names and notices by which public licences are declared.
 TEMPLATES = {
-    "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU AGPL version 3 or later."],
+    "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU AGPL version 3 or later.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -45,7 +48,7 @@ TEMPLATES = {
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Dedicated to the public domain under CC0 1.0 Universal."],
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Released under the GNU GPL version 2."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License."],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU LGPL version 3."],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU LGPL version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Licensed under the MIT License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0."],
     "proprietary": ["All rights reserved.", "All rights reserved. No part of this document may be reproduced without prior written permission.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."],
@@ -62,20 +65,22 @@ class Classifier:
     bias: np.ndarray
     temperature: float
     least: float
+    wide: float  # `least` of a window of lines
 
 
-def features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, paragraph of each n-gram, byte starts of the paragraphs) of a text whose paragraphs are its lines."""
+def features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, first line, last line of each n-gram over at most three lines, words of each line, byte starts of the lines) of a text."""
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     words, at = _hash_words(data.translate(_FOLD))
-    paragraph = np.searchsorted(breaks, at)
-    found, where, h = [], [], np.zeros(len(words), np.uint64)
+    line = np.searchsorted(breaks, at)
+    found, first, last, h = [], [], [], np.zeros(len(words), np.uint64)
     for n in range(3):
         h = h[: len(words) - n] * np.uint64(0x9E3779B97F4A7C15) + words[n:]
-        same = paragraph[n:] == paragraph[: len(words) - n]
-        found.append((mix(h + np.uint64(n)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[same])
-        where.append(paragraph[n:][same])
-    return np.concatenate(found), np.concatenate(where), np.concatenate([[0], breaks + 1])
+        near = line[n:] - line[: len(words) - n] <= 2
+        found.append((mix(h + np.uint64(n)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[near])
+        first.append(line[: len(words) - n][near])
+        last.append(line[n:][near])
+    return np.concatenate(found), np.concatenate(first), np.concatenate(last), np.bincount(line, minlength=len(breaks) + 1), np.concatenate([[0], breaks + 1])
 
 
 def word_pairs(text: str) -> set[tuple[str, ...]]:
@@ -83,10 +88,15 @@ def word_pairs(text: str) -> set[tuple[str, ...]]:
     return set(zip(w, w[1:])) or {tuple(w)}
 
 
+PAIRS = [(family, word_pairs(t)) for family, ts in TEMPLATES.items() for t in ts]
+#: Words of the longest template: a notice that starts in a line ends within so many words after that line.
+LONGEST = max(len(re.findall(r"[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
+
+
 def best_template(text: str) -> tuple[str, float]:
     """(family, share of its template's word pairs in text) of the best match; of equal ones the longest template's."""
     own = word_pairs(text)
-    found = [(len(p & own) / len(p), len(p), family) for family, ts in TEMPLATES.items() for p in map(word_pairs, ts)]
+    found = [(len(p & own) / len(p), len(p), family) for family, p in PAIRS]
     share, n, _ = max(found, key=lambda x: x[:2])
     return min(f for s, m, f in found if (s, m) == (share, n)), share
 
@@ -110,9 +120,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
     rng = np.random.default_rng(20240607)
     n = docs.select("doc_id").count()
     rows = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("licence-fit")), F.lit(1 << 30)) < int(min(1, sample / max(1, n)) * (1 << 30)))
-    prose = []
+    prose, runs = [], []
     for (text,) in rows.select(F.col("text").cast("string")).toLocalIterator():
-        prose += [x for x in (text or "").split("\n")[:200] if x.strip() and best_template(x)[1] < 0.5][:20]
+        lines = (text or "").split("\n")[:200]
+        prose += [x for x in lines if x.strip() and best_template(x)[1] < 0.5][:20]
+        if best_template(" ".join(lines))[1] < 0.5:
+            runs.append("\n".join(lines[:40]).encode("utf-8", "surrogatepass"))
     prose = prose or ["no words of any licence stand here"]
     fillers = sorted({w for x in prose[:500] for w in x.split()})[:2000]
     texts, labels = edits(rng, fillers, 40)
@@ -157,23 +170,75 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
     least = float(max(0.5, of_prose[int((1 - FALSE_RATE) * (len(of_prose) - 1))])) if len(of_prose) else 0.5
     full = np.zeros((1 << BUCKET_BITS, len(families)), np.float32)
     full[live] = w
-    return Classifier(families, full, b.astype(np.float32), temperature, least)
+    model = Classifier(families, full, b.astype(np.float32), temperature, least, least)
+    # the prose that no sample holds: the windows over the lines of sampled texts
+    seen = [(1 - p[last > first, -1]) for first, last, p, _ in (score(model, x) for x in runs)]
+    of_runs = np.sort(np.concatenate([np.zeros(1), *seen]))
+    return dataclasses.replace(model, wide=float(max(least, of_runs[int((1 - FALSE_RATE) * (len(of_runs) - 1))])))
 
 
-def score(model: Classifier, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(class probabilities of each paragraph, byte starts of the paragraphs)."""
-    bucket, paragraph, starts = features(data)
-    once = np.unique(paragraph << BUCKET_BITS | bucket)  # as in the fit, an n-gram counts once a paragraph
-    bucket, paragraph = once & ((1 << BUCKET_BITS) - 1), once >> BUCKET_BITS
-    n = np.bincount(paragraph, minlength=len(starts))
-    z = np.zeros((len(starts), len(model.families)), np.float32)
-    if len(bucket):
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])[n > 0]
-        z[n > 0] = np.add.reduceat(model.weights[bucket], first, axis=0)
+def _softmax(model: Classifier, z: np.ndarray, n: np.ndarray) -> np.ndarray:
     z = (z / np.sqrt(np.maximum(1, n))[:, None] + model.bias) / model.temperature
     z[n == 0, :-1] = -np.inf
     p = np.exp(z - z.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True), starts
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def score(model: Classifier, data: bytes, walls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, last line, class probabilities of each paragraph and window, byte starts of the lines).
+
+    The paragraphs (lines) come first, then the windows: two lines or more that follow each other, all with words, none but the first
+    at a wall (byte where a text starts). A window ends where every template that starts in its first line has ended, at the latest.
+    As in the fit, an n-gram counts once a line; one over a line break counts once a break."""
+    bucket, first, last, words, starts = features(data)
+    lines, width = len(starts), len(model.families)
+    once = np.unique((last * 3 + last - first) << BUCKET_BITS | bucket)
+    bucket, group = once & ((1 << BUCKET_BITS) - 1), once >> BUCKET_BITS
+    n = np.bincount(group, minlength=3 * lines)
+    z = np.zeros((3 * lines, width), np.float32)
+    if len(bucket):
+        z[n > 0] = np.add.reduceat(model.weights[bucket], np.concatenate([[0], np.cumsum(n)[:-1]])[n > 0], axis=0)
+    z, n = z.reshape(lines, 3, width), n.reshape(lines, 3)
+    shut = words == 0
+    if walls is not None:
+        shut = shut.copy()
+        shut[np.searchsorted(starts, walls)] = True
+    at = np.flatnonzero(words > 0)
+    total, count, after = z[at, 0], n[at, 0], np.zeros(len(at), np.int64)
+    found = [(np.arange(lines), np.arange(lines), _softmax(model, z[:, 0], n[:, 0]))]
+    more = 1
+    while len(at):
+        end = at + more
+        on = (end < lines) & (after < LONGEST - 1)
+        on[on] = ~shut[end[on]]
+        at, end, total, count, after = at[on], end[on], total[on], count[on], after[on] + words[end[on]]
+        for k in range(min(more, 2) + 1):  # n-grams that end in the new line and start in it, one or two lines before
+            total, count = total + z[end, k], count + n[end, k]
+        if len(at):
+            found.append((at, end, _softmax(model, total, count)))
+        more += 1
+    return *map(np.concatenate, zip(*found)), starts
+
+
+def distinct(found: list[tuple]) -> list[tuple]:
+    """found(confirmed, family, probability, share, first, last line, ...) without those that say again what a better one says: confirmed
+    ones go first, then greater shares, fewer lines, probability. A confirmed one falls to one of its family, another to any, on the same lines."""
+    kept: list[tuple] = []
+    for x in sorted(found, key=lambda x: (not x[0], -x[3], x[5] - x[4], -x[2], x[4])):
+        if not any(x[4] <= y[5] and y[4] <= x[5] and (not x[0] or x[1] == y[1]) for y in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: (x[4], x[5], x[1]))
+
+
+def _narrowed(lines: list[str], judge) -> tuple[int, int]:
+    """(lines off the start, lines off the end) that a window loses without holding less of its template."""
+    family, share = judge(" ".join(lines))
+    lo, hi = 0, len(lines)
+    while hi - lo > 1 and judge(" ".join(lines[lo : hi - 1])) == (family, share):
+        hi -= 1
+    while hi - lo > 1 and judge(" ".join(lines[lo + 1 : hi])) == (family, share):
+        lo += 1
+    return lo, len(lines) - hi
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -195,22 +260,30 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
                 while end < len(texts) and (end == at or size + len(texts[end]) < SCORE_BYTES):
                     size += len(texts[end]) + 1
                     end += 1
-                p, starts = score(m, b"\n".join(texts[at:end]))
                 edges = np.cumsum([0, *[len(t) + 1 for t in texts[at:end]]])
+                first, last, p, starts = score(m, b"\n".join(texts[at:end]), edges[:-1])
                 cuts = np.searchsorted(starts, edges)
                 # the rest of the mass against prose decides; what the classifier calls a licence is confirmed by its words
-                likely = np.flatnonzero(1 - p[:, -1] >= m.least)
+                likely = np.flatnonzero(1 - p[:, -1] >= np.where(last > first, m.wide, m.least))
+                likely = likely[np.argsort(first[likely], kind="stable")]
+                bounds = np.searchsorted(first[likely], cuts)
                 for k in range(at, end):
-                    lo, hi = cuts[k - at], cuts[k - at + 1]
+                    text, off = texts[k], edges[k - at]
                     got = []
-                    for i in likely[(likely >= lo) & (likely < hi)]:
-                        begin = int(starts[i] - edges[k - at])
-                        stop = texts[k].find(b"\n", begin)
-                        text = texts[k][begin : stop if stop >= 0 else None].decode("utf-8", "surrogatepass")
-                        family, share = best_template(text)
-                        got.append((family if share >= CONFIRM else "unknown", float(1 - p[i, -1]), share, begin))
-                    best = max(got, key=lambda x: (x[0] != "unknown", x[1], -x[3]), default=(None, None, None, None))
-                    out.append((ids[k], int(hi - lo) if texts[k] else 0, best[0], best[1], best[2], best[0] is not None and best[0] != "unknown", best[3], json.dumps([[f, round(q, 6), round(s, 6), b] for f, q, s, b in got])))
+                    for i in likely[bounds[k - at] : bounds[k - at + 1]]:
+                        a, b = int(first[i]), int(last[i])
+                        stop = int(starts[b + 1] - off - 1) if b + 1 < len(starts) else len(text)
+                        own = text[int(starts[a] - off) : stop].decode("utf-8", "surrogatepass").split("\n")
+                        family, share = best_template(" ".join(own))
+                        sure = share >= CONFIRM
+                        if b > a and sure:
+                            lo, hi = _narrowed(own, best_template)
+                            a, b = a + lo, b - hi
+                        got.append((sure, family if sure else "unknown", float(1 - p[i, -1]), share, a, b, int(starts[a] - off)))
+                    got = distinct(got)
+                    # a grant says more than the reservation of rights above it
+                    best = max(got, key=lambda x: (x[0], x[1] != "proprietary", x[2], -x[6]), default=(False, None, None, None, 0, 0, None))
+                    out.append((ids[k], int(cuts[k - at + 1] - cuts[k - at]) if text else 0, best[1], best[2], best[3], best[0], best[6], json.dumps([[f, round(q, 6), round(s, 6), b] for _, f, q, s, _, _, b in got])))
                 at = end
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.string()]
             names = ["doc_id", "n_paragraphs", "family", "probability", "similarity", "confirmed", "byte_start", "found"]

@@ -73,3 +73,29 @@ def test_licences_of_documents(documents, classifier):
     for r in licenses.scan(documents, classifier).join(documents.select("doc_id", "text"), "doc_id").collect():
         stated = {f for k, f in lines.items() if k in (r.text or "")}
         assert (r.family in stated) if stated else r.family in (None, "proprietary"), (r.doc_id, r.family)
+
+
+WRAPPED = {
+    "GPL": "Copyright (C) 2020 Some Body\n\n This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3 of the License, or\n (at your option) any later version.\n\nint main",
+    "LGPL": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n *",
+    "BSD": "Copyright (c) 2020, Some Body\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.",
+    "ISC": "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies.",
+    "MIT": "It was fine.\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy\nof this software and associated documentation files (the \"Software\"), to\ndeal in the Software without restriction.",
+}
+
+
+def test_wrapped_notices(make_docs, classifier):
+    """Notices over several lines, among other texts of their batch."""
+    order = sorted(WRAPPED)
+    rows = [(2 * k, WRAPPED[f], "en", "s") for k, f in enumerate(order)] + [(2 * k + 1, "The weather was fine\nand they went to the sea.", "en", "s") for k in range(len(order))]
+    got = {r.doc_id: r for r in licenses.scan(make_docs(sorted(rows)), classifier).collect()}
+    assert {f: (got[2 * k].family, got[2 * k].confirmed) for k, f in enumerate(order)} == {f: (f, True) for f in order}
+    assert all(got[2 * k + 1].family is None for k in range(len(order)))
+    assert {f: got[2 * k].byte_start for k, f in enumerate(order)} == {f: WRAPPED[f].index(s) for f, s in {"GPL": " This program", "LGPL": " * This", "BSD": "Redistribution and", "ISC": "# Perm", "MIT": "Permission"}.items()}
+
+
+def test_windows_end_at_texts(make_docs, classifier):
+    """A notice whose halves stand in two texts, or on both sides of a blank line, is none."""
+    a, b = "Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"
+    got = licenses.scan(make_docs([(1, a, "en", "s"), (2, b, "en", "s"), (3, f"{a}\n\n{b}", "en", "s")]).coalesce(1), classifier).collect()
+    assert not any(r.confirmed for r in got)
