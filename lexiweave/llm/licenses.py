@@ -2,13 +2,14 @@
 
 Fit (on the driver, bounded): paragraphs made from the templates below by seeded edits, and paragraphs of about ``SAMPLE_DOCS``
 documents as prose (those that share most of a template are left out). Features are hashed word 1- to 3-grams; a
-multinomial logistic regression with a prose class is fitted by gradient descent. A temperature and the probability under which a
-licence-like paragraph is ``unknown`` are set on edits and prose kept apart from the fit.
+multinomial logistic regression with a prose class is fitted by gradient descent. A temperature and the probability from which a paragraph
+is no prose are set on edits and prose kept apart from the fit; the one under which it is ``unknown`` on notices of no family.
 Score: every paragraph (line) of every whole text, and every window of consecutive lines up to the next line without words that a
 template wrapped over lines can fill; hashed n-grams gather rows of the weight matrix and are summed by line and line break in numpy, windows
 add up their lines. The matrix (2^15 x classes) is broadcast and does not grow with the corpus.
-Confirm: a paragraph that is not prose is held against its family's templates by the share of a template's word pairs that it
-holds; a family counts as confirmed from ``CONFIRM`` on, and a paragraph of another family with a better match takes that family.
+Confirm: the likeliest licence class of a paragraph that is not prose is its family. It is held against that family's templates by the share
+of a template's word pairs that the paragraph holds; a family counts as confirmed from ``CONFIRM`` on, and a better match of another family's
+template corrects it. Without a template the family stands, unconfirmed, from a probability on that is set on notices of no family.
 A window is reported only where no better paragraph or window on the same lines says the same.
 
 Cases: a null or empty text has no paragraphs and no licence; ties go to the first family by name; repeated rows get equal answers; extra
@@ -35,6 +36,8 @@ BUCKET_BITS = 15
 #: Share of a template's word pairs that confirms it, and of prose paragraphs that calibration lets pass as licences.
 CONFIRM = 0.6
 FALSE_RATE = 0.001
+#: Share of notices of no family that calibration lets pass as one.
+STRANGER_RATE = 0.05
 SCORE_BYTES = 1 << 17
 
 # Names and notices by which public licences are declared.
@@ -66,6 +69,7 @@ class Classifier:
     temperature: float
     least: float
     wide: float  # `least` of a window of lines
+    known: float  # probability from which a family stands without its templates
 
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,12 +97,38 @@ PAIRS = [(family, word_pairs(t)) for family, ts in TEMPLATES.items() for t in ts
 LONGEST = max(len(re.findall(r"[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
 
 
-def best_template(text: str) -> tuple[str, float]:
-    """(family, share of its template's word pairs in text) of the best match; of equal ones the longest template's."""
+def shares(text: str) -> dict[str, tuple[float, int]]:
+    """For each family (share of a template's word pairs in text, the template's pairs) of its best match; of equal ones the longest template's."""
     own = word_pairs(text)
-    found = [(len(p & own) / len(p), len(p), family) for family, p in PAIRS]
-    share, n, _ = max(found, key=lambda x: x[:2])
-    return min(f for s, m, f in found if (s, m) == (share, n)), share
+    found: dict[str, tuple[float, int]] = {}
+    for family, p in PAIRS:
+        found[family] = max(found.get(family, (0.0, 0)), (len(p & own) / len(p), len(p)))
+    return found
+
+
+def best_template(text: str) -> tuple[str, float]:
+    """(family, share of its template's word pairs in text) of the best match over all families."""
+    found = shares(text)
+    family = min(found, key=lambda f: (-found[f][0], -found[f][1], f))
+    return family, found[family][0]
+
+
+def judge(model: Classifier, text: str, p: np.ndarray) -> tuple[bool, str, float, float]:
+    """(confirmed, family, probability, share) of a licence-like paragraph with class probabilities p.
+
+    The family is the classifier's likeliest one. Its templates confirm it from CONFIRM on, a better match of another family's from CONFIRM
+    on corrects it; without either it stands from model.known on and is `unknown` below. The probability is the family's own, or
+    for `unknown` that of all families."""
+    found = shares(text)
+    top, (share, _) = max(found.items(), key=lambda x: (x[1], p[model.families.index(x[0])]))
+    k = int(np.argmax(p[:-1]))
+    named = model.families[k]
+    if share >= CONFIRM:
+        named = named if found[named] == found[top] else top
+        return True, named, float(p[model.families.index(named)]), share
+    if p[k] >= model.known:
+        return False, named, float(p[k]), found[named][0]
+    return False, "unknown", float(1 - p[-1]), share
 
 
 def edits(rng: np.random.Generator, fillers: list[str], each: int) -> tuple[list[str], list[str]]:
@@ -116,6 +146,26 @@ def edits(rng: np.random.Generator, fillers: list[str], each: int) -> tuple[list
     return texts, labels
 
 
+def strangers(rng: np.random.Generator, fillers: list[str], each: int) -> list[str]:
+    """Seeded notices of no family: templates in which fillers stand for words, and for second words of pairs, that one family alone has."""
+    holders: dict[tuple[str, ...], set[str]] = {}
+    spelt = {t: [" ".join(re.findall(r"[a-z0-9]+", x.lower())) for x in t.split()] for ts in TEMPLATES.values() for t in ts}
+    for family, ts in TEMPLATES.items():
+        for t in ts:
+            for a, b in zip([None, *spelt[t]], spelt[t]):
+                holders.setdefault((b,), set()).add(family)
+                holders.setdefault((a, b), set()).add(family)
+    texts = []
+    for t, words in spelt.items():
+        kept, before = [], None
+        for shown, w in zip(t.split(), words):
+            before = w if len(holders[w,]) > 1 and (before is None or len(holders.get((before, w), ())) > 1) else None
+            kept.append(before and shown)
+        if None in kept and any(kept):
+            texts += [" ".join(x or str(rng.choice(fillers)) for x in kept) for _ in range(each)]
+    return texts
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
     rng = np.random.default_rng(20240607)
     n = docs.select("doc_id").count()
@@ -170,11 +220,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
     least = float(max(0.5, of_prose[int((1 - FALSE_RATE) * (len(of_prose) - 1))])) if len(of_prose) else 0.5
     full = np.zeros((1 << BUCKET_BITS, len(families)), np.float32)
     full[live] = w
-    model = Classifier(families, full, b.astype(np.float32), temperature, least, least)
+    model = Classifier(families, full, b.astype(np.float32), temperature, least, least, 1.0)
     # the prose that no sample holds: the windows over the lines of sampled texts
     seen = [(1 - p[last > first, -1]) for first, last, p, _ in (score(model, x) for x in runs)]
     of_runs = np.sort(np.concatenate([np.zeros(1), *seen]))
-    return dataclasses.replace(model, wide=float(max(least, of_runs[int((1 - FALSE_RATE) * (len(of_runs) - 1))])))
+    p = np.concatenate([score(model, x.encode("utf-8", "surrogatepass"))[2][:1] for x in strangers(rng, fillers, 8)])
+    of_strangers = np.sort(np.concatenate([np.zeros(1), p[1 - p[:, -1] >= least, :-1].max(axis=1)]))
+    known = float(max(0.5, of_strangers[int((1 - STRANGER_RATE) * (len(of_strangers) - 1))]))
+    return dataclasses.replace(model, wide=float(max(least, of_runs[int((1 - FALSE_RATE) * (len(of_runs) - 1))])), known=known)
 
 
 def _softmax(model: Classifier, z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -222,21 +275,22 @@ def score(model: Classifier, data: bytes, walls: np.ndarray | None = None) -> tu
 
 def distinct(found: list[tuple]) -> list[tuple]:
     """found(confirmed, family, probability, share, first, last line, ...) without those that say again what a better one says: confirmed
-    ones go first, then greater shares, fewer lines, probability. A confirmed one falls to one of its family, another to any, on the same lines."""
+    ones go first, then named ones, greater shares, fewer lines, probability. A confirmed one falls to one of its family, another to any, on the same lines."""
     kept: list[tuple] = []
-    for x in sorted(found, key=lambda x: (not x[0], -x[3], x[5] - x[4], -x[2], x[4])):
+    for x in sorted(found, key=lambda x: (not x[0], x[1] == "unknown", -x[3], x[5] - x[4], -x[2], x[4])):
         if not any(x[4] <= y[5] and y[4] <= x[5] and (not x[0] or x[1] == y[1]) for y in kept):
             kept.append(x)
     return sorted(kept, key=lambda x: (x[4], x[5], x[1]))
 
 
-def _narrowed(lines: list[str], judge) -> tuple[int, int]:
-    """(lines off the start, lines off the end) that a window loses without holding less of its template."""
-    family, share = judge(" ".join(lines))
+def _narrowed(lines: list[str], family: str) -> tuple[int, int]:
+    """(lines off the start, lines off the end) that a window loses without holding less of its family's template."""
+    held = lambda lo, hi: shares(" ".join(lines[lo:hi]))[family]
     lo, hi = 0, len(lines)
-    while hi - lo > 1 and judge(" ".join(lines[lo : hi - 1])) == (family, share):
+    whole = held(lo, hi)
+    while hi - lo > 1 and held(lo, hi - 1) == whole:
         hi -= 1
-    while hi - lo > 1 and judge(" ".join(lines[lo + 1 : hi])) == (family, share):
+    while hi - lo > 1 and held(lo + 1, hi) == whole:
         lo += 1
     return lo, len(lines) - hi
 
@@ -244,8 +298,8 @@ def _narrowed(lines: list[str], judge) -> tuple[int, int]:
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_paragraphs, family, probability, similarity, confirmed, byte_start, found.
 
-    family is that of the document's best licence paragraph (confirmed ones first, then by probability): a family, `unknown` where none
-    is confirmed, or null without any; found lists all as JSON [[family, probability, similarity, byte_start], ...]."""
+    family is that of the document's best licence paragraph (confirmed ones first, then named ones, grants before `proprietary`, then by
+    probability): a family, `unknown` where none is named, or null without any; probability is the family's own; found lists all as JSON [[family, probability, similarity, byte_start], ...]."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -263,7 +317,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
                 edges = np.cumsum([0, *[len(t) + 1 for t in texts[at:end]]])
                 first, last, p, starts = score(m, b"\n".join(texts[at:end]), edges[:-1])
                 cuts = np.searchsorted(starts, edges)
-                # the rest of the mass against prose decides; what the classifier calls a licence is confirmed by its words
+                # the rest of the mass against prose decides; the family is the classifier's, confirmed or corrected by the words
                 likely = np.flatnonzero(1 - p[:, -1] >= np.where(last > first, m.wide, m.least))
                 likely = likely[np.argsort(first[likely], kind="stable")]
                 bounds = np.searchsorted(first[likely], cuts)
@@ -274,15 +328,14 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
                         a, b = int(first[i]), int(last[i])
                         stop = int(starts[b + 1] - off - 1) if b + 1 < len(starts) else len(text)
                         own = text[int(starts[a] - off) : stop].decode("utf-8", "surrogatepass").split("\n")
-                        family, share = best_template(" ".join(own))
-                        sure = share >= CONFIRM
+                        sure, family, chance, share = judge(m, " ".join(own), p[i])
                         if b > a and sure:
-                            lo, hi = _narrowed(own, best_template)
+                            lo, hi = _narrowed(own, family)
                             a, b = a + lo, b - hi
-                        got.append((sure, family if sure else "unknown", float(1 - p[i, -1]), share, a, b, int(starts[a] - off)))
+                        got.append((sure, family, chance, share, a, b, int(starts[a] - off)))
                     got = distinct(got)
                     # a grant says more than the reservation of rights above it
-                    best = max(got, key=lambda x: (x[0], x[1] != "proprietary", x[2], -x[6]), default=(False, None, None, None, 0, 0, None))
+                    best = max(got, key=lambda x: (x[0], x[1] != "unknown", x[1] != "proprietary", x[2], -x[6]), default=(False, None, None, None, 0, 0, None))
                     out.append((ids[k], int(cuts[k - at + 1] - cuts[k - at]) if text else 0, best[1], best[2], best[3], best[0], best[6], json.dumps([[f, round(q, 6), round(s, 6), b] for _, f, q, s, _, _, b in got])))
                 at = end
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.string()]

@@ -99,3 +99,24 @@ def test_windows_end_at_texts(make_docs, classifier):
     a, b = "Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"
     got = licenses.scan(make_docs([(1, a, "en", "s"), (2, b, "en", "s"), (3, f"{a}\n\n{b}", "en", "s")]).coalesce(1), classifier).collect()
     assert not any(r.confirmed for r in got)
+
+
+def test_family_is_the_classifiers(make_docs, classifier):
+    """Licence lines in other words keep the family that the classifier gives them, unconfirmed, with that family's probability."""
+    said = {1: ("Distributed under the terms of the GNU GPL v3", "GPL"), 2: ("License: MIT", "MIT"), 3: ("Released under the MIT License.", "MIT")}
+    got = {r.doc_id: r for r in licenses.scan(make_docs([(k, t, "en", "s") for k, (t, _) in said.items()]), classifier).collect()}
+    assert {k: r.family for k, r in got.items()} == {k: f for k, (_, f) in said.items()}
+    assert {k: r.confirmed for k, r in got.items()} == {1: False, 2: False, 3: True}
+    for k, (t, f) in said.items():
+        assert got[k].probability == pytest.approx(licenses.score(classifier, t.encode())[2][0, classifier.families.index(f)], abs=1e-6)
+
+
+def test_template_corrects(classifier):
+    p = np.full(len(classifier.families), 0.001)
+    p[classifier.families.index("LGPL")] = 0.9
+    assert licenses.judge(classifier, "Released under the MIT License.", p) == (True, "MIT", 0.001, 1.0)
+    assert licenses.judge(classifier, "Released under the GNU LGPL version 3.", p) == (True, "LGPL", 0.9, 1.0)
+    p[classifier.families.index("LGPL")] = classifier.known
+    assert licenses.judge(classifier, "some other words", p)[:2] == (False, "LGPL")
+    p[classifier.families.index("LGPL")] = classifier.known - 0.01
+    assert licenses.judge(classifier, "some other words", p)[:2] == (False, "unknown")
