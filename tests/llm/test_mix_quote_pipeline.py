@@ -80,6 +80,37 @@ def test_quotations(spark):
     assert quotations.reply_order(df).count() == len(rows)
 
 
+@pytest.mark.parametrize("hot", [64, 1, 0])
+def test_most_lines_are_counted(spark, monkeypatch, hot):
+    """Against brute force: the message that holds most lines, whatever later or lower ones repeat single lines of it; hot: lines rare, mixed, common."""
+    monkeypatch.setattr(quotations, "HOT_LINE", hot)
+    rows = [(1, 0, "u", "Hello\nThe meeting is at ten\nBring the papers"), (1, 1, "a", "Hello\nok"), (1, 2, "u", "> Hello\n> The meeting is at ten\n> Bring your papers\nyes")]
+    rows += [(2, 0, "u", "> far one\nand more"), (2, 1, "u", "far one\nfar two\nand so on"), (0, 5, "a", "far two\nelse"), (3, 0, "u", "> far one\n> far two\n> far three"), (4, 0, "u", "in two places"), (4, 1, "u", "what else"), (5, 7, "u", "in two places"), (4, 2, "u", "said\nin two places"), (4, -1, "u", "> in two places")]
+    rng = __import__("random").Random(5)
+    words = ["Hi", "Bye", *(f"line {i}" for i in range(6))]
+    for k in range(60):
+        own = "\n".join(rng.choices(words, [6, 6, 1, 1, 1, 1, 1, 1], k=rng.randint(1, 4)))
+        quote = "\n".join(f"> {x}" for x in rng.choices([*words, f"no {k}"], k=rng.randint(2, 5)))
+        rows.append((10 + k % 7, k // 7, "u", f"own {k}\n{own}" if k % 3 else f"{quote}\n\nanswer {k}"))
+    plain = lambda text: [x.lower() for x in text.split("\n") if x and not x.startswith(">")]
+    want = {}
+    for c, t, _, text in rows:
+        quote = [x[2:].lower() for x in text.split("\n") if x.startswith(">")]
+        found = []
+        for c2, t2, _, other in rows:
+            lines, votes = plain(other), 0
+            if not quote or c2 == c and t2 >= t:
+                continue
+            votes = sum(x in lines for x in quote)
+            exact = " ".join(quote) in (" ".join(lines), *lines, *(" ".join(plain(p)) for p in other.split("\n\n")))
+            if exact or 2 * votes > len(quote):
+                found.append((exact, c2 == c, 0 if exact else votes, -c2, t2 if c2 == c else -t2, (c2, t2)))
+        want[c, t] = max(found)[-1] if found else (None, None)
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotations.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == want
+    assert got[1, 2] == (1, 0) and got[3, 0] == (2, 1) and got[4, -1] == (5, 7)
+
+
 def test_pipeline_stages(spark, make_docs):
     rng = __import__("random").Random(8)
     word = lambda: "".join(rng.choices("etaoinshr", k=5))
