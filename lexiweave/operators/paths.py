@@ -109,10 +109,33 @@ class _Search:
             self.out.setdefault(s, []).append((d, p))
         self.entropy = {s: -sum(p * math.log2(p) for _, p in o if p > 0) for s, o in self.out.items()}
         self.one = {s: sum(p for d, p in o if self.trap(d)) for s, o in self.out.items()}
+        self.steps: dict[str, list[tuple]] = {}
 
     def trap(self, word: str) -> bool:
         return word[:1].lower() in self.letters
 
+    def _moves(self, word: str) -> list[tuple]:
+        """(next word, p, its surprise, gain, the parts of its promise) of each move of a word, worked out when first asked for."""
+        if word not in self.steps:
+            rows = []
+            for d, p in self.out.get(word, ()):
+                if p > 0:
+                    g = max(0.0, self.entropy[word] + math.log2(p))
+                    rows.append((d, p, p * math.log2(p), g, 0.4 * p + 0.3 * g, 0.1 * self.one.get(d, 0.0)))
+            self.steps[word] = rows
+        return self.steps[word]
+
+    def reaches(self, start: str, max_steps: int, least: float) -> bool:
+        """Whether any simple path from start to its first trap within max_steps has a probability over least (under 1 / least ways a step)."""
+        stack = [((start,), 1.0)]
+        while stack:
+            path, prob = stack.pop()
+            if self.trap(path[-1]):
+                return True
+            if len(path) <= max_steps:
+                stack += [((*path, d), prob * p) for d, p, *_ in self._moves(path[-1]) if prob * p > least and d not in path]
+        return False
+
     def paths(self, start: str, max_steps: int, max_paths: int) -> list[tuple]:
         """(path, steps, probability, entropy, gain, score), by score; at most max_paths are found before the search ends."""
         if self.trap(start):
@@ -130,22 +153,20 @@ class _Search:
                 continue
             if steps >= max_steps:
                 continue
-            for d, p in self.out.get(word, ()):
-                if d in path or p <= 0:
-                    continue
-                g = max(0.0, self.entropy[word] + math.log2(p))
-                e = entropy - p * math.log2(p)
-                promise = 0.4 * p + 0.3 * g + 0.2 / (1 + e) + 0.1 * self.one.get(d, 0.0)
-                heapq.heappush(queue, (-promise, steps + 1, (*path, d), prob * p, e, gain + g))
+            for d, p, bits, g, near, ahead in self._moves(word):
+                if d not in path and (d, steps + 1) not in closed:  # a closed state would only be thrown away when popped
+                    e = entropy - bits
+                    heapq.heappush(queue, (-(near + 0.2 / (1 + e) + ahead), steps + 1, (*path, d), prob * p, e, gain + g))
         return sorted(found, key=lambda x: (-x[5], x[0]))
 
 
-def best_first_paths(graph: WordGraph, words, max_steps: int = 5, max_paths: int = 10) -> DataFrame:
+def best_first_paths(graph: WordGraph, words, max_steps: int = 5, max_paths: int = 10, least: float = 0.0) -> DataFrame:
     """word, path, steps, probability, entropy, gain, score: paths to traps in the order of a best-first search.
 
     A state (word, steps) closes when it is first popped, so which paths are found depends on that order; each start is searched on its own.
     The adjacency is sent to the workers only up to BROADCAST_EDGES edges; a larger graph is first cut down to what lies within max_steps
-    moves of the start words, and refused if that is still larger."""
+    moves of the start words, and refused if that is still larger. With `least`, of the paths found only those of a probability over it are
+given; starts that no such path leaves are not searched."""
     starts = _starts(graph, words).select("word")
     moves = graph.moves.select("src", "dst", "p")
     if moves.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
@@ -160,6 +181,6 @@ def best_first_paths(graph: WordGraph, words, max_steps: int = 5, max_paths: int
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = _Search(*shared.value)
         for b in batches:
-            yield pd.DataFrame([(w, *x) for w in b["word"] for x in s.paths(w, max_steps, max_paths)], columns=cols)
+            yield pd.DataFrame([(w, *x) for w in b["word"] if not least or s.reaches(w, max_steps, least) for x in s.paths(w, max_steps, max_paths) if x[2] > least], columns=cols)
 
     return starts.repartition(graph.edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(search, "word string, path array<string>, steps int, probability double, entropy double, gain double, score double")

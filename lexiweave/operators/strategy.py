@@ -79,7 +79,7 @@ def evaluate_moves(graph: WordGraph, words: DataFrame, level: str = "medium", pa
     d = DIFFICULTIES.get(level, DIFFICULTIES["medium"])
     moves = graph.edges.join(words.select(F.col("word").alias("src")), "src", "left_semi").where(~is_trap("dst", graph.letters)).select(F.col("src").alias("word"), F.col("dst").alias("move"))
     replies = graph.edges.where(~is_trap("dst", graph.letters)).select(F.col("src").alias("move"), F.col("dst").alias("reply")).join(moves.select("move").distinct(), "move", "left_semi")
-    paths = best_first_paths(graph, replies.select(F.col("reply").alias("word")).distinct(), d.lookahead, 3).where("probability > 0.3")
+    paths = best_first_paths(graph, replies.select(F.col("reply").alias("word")).distinct(), d.lookahead, 3, least=0.3)
     threats = replies.join(paths.select(F.col("word").alias("reply"), F.array_join("path", " -> ").alias("text")), "reply").groupBy("move").agg(F.count("*").alias("n_paths"), F.sort_array(F.collect_set("text")).alias("trap_paths"))
     rows = moves
     for part in (self_safety(graph, d.lookahead), opponent_danger(graph, d.lookahead), escape_routes(graph)):

@@ -174,8 +174,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "escape_route_count": lambda s, d: strategy.escape_routes(g(s, d)),
         "greedy_move": lambda s, d: strategy.greedy_moves(g(s, d)),
         "avoid_move_score": lambda s, d: _r(strategy.avoid_scores(g(s, d))),
-        "strategic_value": lambda s, d: strategy.evaluate_moves(g(s, d, 10.0), _words(s, d), "medium"),
-        "choose_move": lambda s, d: strategy.choose_moves(g(s, d, 10.0), _words(s, d), "expert"),
+        "strategic_value": lambda s, d: strategy.evaluate_moves(g(s, d), _words(s, d), "medium"),
+        "choose_move": lambda s, d: strategy.choose_moves(g(s, d), _words(s, d), "expert"),
         "simulate_games": lambda s, d: simulation.simulate_games(g(s, d), 50, "greedy", "random", 8),
         "tournament": lambda s, d: simulation.tournament(g(s, d), games=5, max_turns=6),
     }

@@ -191,3 +191,27 @@ def test_reports(spark):
     assert 0.82 < share < 0.97
     label = {r["target"]: r["label"] for r in reports.trap_potential(g, spark.createDataFrame([("start", "color"), ("start", "nowhere")], "start string, target string")).collect()}
     assert label == {"color": "easy", "nowhere": "perfect trap"}
+
+
+def test_move_queries_run_over_all_pairs(spark, monkeypatch):
+    """strategic_value and choose_move see pairs of low weight too, as the other queries do."""
+    from lexiweave.plans import catalog
+
+    asked = []
+    tiny = WordGraph.from_dict(spark, {"and": {"low": 2, "other": 12}, "low": {"on": 2, "red": 5}, "other": {"on": 3}, "on": {"and": 2}, "red": {"on": 4}})
+    monkeypatch.setattr(catalog, "graph", lambda s, d, least=2.0: asked.append(least) or tiny)
+    moves = catalog.queries()["strategic_value"](spark, "")
+    assert {(r.word, r.move) for r in moves.collect()} == {("and", "low"), ("and", "other")}
+    assert catalog.queries()["choose_move"](spark, "").count() == 1 and set(asked) == {2.0}
+
+
+def test_search_with_least_probability(spark):
+    """The same paths as a search whose result is cut afterwards."""
+    import random
+
+    rng = random.Random(3)
+    names = [a + b for a in "abrso" for b in "xyz"]
+    g = WordGraph.from_dict(spark, {n: {m: float(rng.choice([1, 1, 20])) for m in rng.sample(names, 3)} for n in names})
+    got = [tuple(r) for r in paths.best_first_paths(g, names, 3, 3, least=0.3).collect()]
+    want = [tuple(r) for r in paths.best_first_paths(g, names, 3, 3).where("probability > 0.3").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and 0 < len(got)
