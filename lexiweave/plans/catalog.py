@@ -155,10 +155,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prune_impact": lambda s, d: _r(merging.prune_impact(g(s, d))),
         "prune_comparison": lambda s, d: _r(merging.prune_comparison(g(s, d))),
         "high_value_edges": lambda s, d: reduction.high_value_edges(g(s, d)),
-        "chain_edges": lambda s, d: reduction.chain_edges(g(s, d), 20, 3),
-        "betweenness_sampled": lambda s, d: reduction.betweenness(g(s, d), 16),
+        "chain_edges": lambda s, d: reduction.chain_edges(g(s, d), 50),
+        "betweenness_sampled": lambda s, d: reduction.betweenness(g(s, d), 1000),
         "edge_importance": lambda s, d: _r(reduction.edge_importance(g(s, d), pagerank.pagerank(g(s, d), trap_bias=1.0, **ITERATIONS), g(s, d).words.select("word", F.lit(0.0).alias("betweenness")))),
-        "reduce_edges": lambda s, d: reduction.reduce_edges(g(s, d), 0.3, 16, 20),
+        "reduce_edges": lambda s, d: reduction.reduce_edges(g(s, d), 0.3, 1000, 50),
         # reports
         "trap_effectiveness": lambda s, d: _r(reports.trap_effectiveness(g(s, d))),
         "degrees": lambda s, d: reports.degrees(g(s, d)),

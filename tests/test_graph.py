@@ -215,3 +215,21 @@ def test_search_with_least_probability(spark):
     got = [tuple(r) for r in paths.best_first_paths(g, names, 3, 3, least=0.3).collect()]
     want = [tuple(r) for r in paths.best_first_paths(g, names, 3, 3).where("probability > 0.3").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and 0 < len(got)
+
+
+def test_betweenness_by_joins(spark, monkeypatch):
+    """A graph too large for a worker gives the same figures."""
+    import random
+
+    rng = random.Random(4)
+    g = WordGraph.from_dict(spark, {f"w{i}": {f"w{j}": float(rng.randint(1, 2)) for j in rng.sample(range(9), 2)} for i in range(8)})
+    want = as_map(reduction.betweenness(g, 6), "word", "betweenness")
+    monkeypatch.setattr(reduction, "BROADCAST_EDGES", 3)
+    monkeypatch.setattr(reduction, "PIVOTS_AT_ONCE", 4)
+    assert as_map(reduction.betweenness(g, 6), "word", "betweenness") == pytest.approx(want) and sum(want.values()) > 0
+
+
+def test_chains_of_any_length(spark):
+    chain = ["a", "b", "c", "d", "e", "f", "g", "red"]
+    g = WordGraph.from_dict(spark, {x: {y: 1.0} for x, y in zip(chain, chain[1:])})
+    assert {tuple(r) for r in reduction.chain_edges(g).collect()} == set(zip(chain, chain[1:]))
