@@ -89,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # sources
         "edges_bigram": lambda s, d: g(s, d).edges,
         "edges_cooccurrence": lambda s, d: sources.cooccurrence_edges(s.read.parquet(f"{d}/documents.parquet"), 3, 3, 10),
+        "edges_cooccurrence_full": lambda s, d: sources.cooccurrence_edges(s.read.parquet(f"{d}/documents.parquet"), 5, 2, 25),
         "edges_events": lambda s, d: sources.event_transitions(s.read.parquet(f"{d}/events.parquet")),
         "edges_top_per_source": lambda s, d: sources.top_per_source(g(s, d).edges, 25),
         "conceptnet_parse": lambda s, d: sources.parse_conceptnet(_lines(s, CONCEPTNET_LINES), sources.CONCEPTNET_WIDE),
@@ -158,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chain_edges": lambda s, d: reduction.chain_edges(g(s, d), 50),
         "betweenness_sampled": lambda s, d: reduction.betweenness(g(s, d), 1000),
         "edge_importance": lambda s, d: _r(reduction.edge_importance(g(s, d), pagerank.pagerank(g(s, d), trap_bias=1.0, **ITERATIONS), g(s, d).words.select("word", F.lit(0.0).alias("betweenness")))),
+        "edge_importance_full": lambda s, d: _r(reduction.edge_importance(g(s, d), pagerank.pagerank(g(s, d), trap_bias=1.0, **ITERATIONS), reduction.betweenness(g(s, d), 1000))),
         "reduce_edges": lambda s, d: reduction.reduce_edges(g(s, d), 0.3, 1000, 50),
         # reports
         "trap_effectiveness": lambda s, d: _r(reports.trap_effectiveness(g(s, d))),

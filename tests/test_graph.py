@@ -233,3 +233,18 @@ def test_chains_of_any_length(spark):
     chain = ["a", "b", "c", "d", "e", "f", "g", "red"]
     g = WordGraph.from_dict(spark, {x: {y: 1.0} for x, y in zip(chain, chain[1:])})
     assert {tuple(r) for r in reduction.chain_edges(g).collect()} == set(zip(chain, chain[1:]))
+
+
+def test_full_importance_and_cooccurrence(spark, monkeypatch, tmp_path):
+    """The queries with production parameters: betweenness takes its part, and pairs five places apart that are seen twice count."""
+    from lexiweave.plans import catalog
+
+    g = WordGraph.from_dict(spark, {"a": {"b": 2}, "b": {"c": 2, "d": 3}, "c": {"a": 4}, "d": {"on": 2}})
+    monkeypatch.setattr(catalog, "graph", lambda s, d, least=2.0: g)
+    q = catalog.queries()
+    plain = {(r.src, r.dst): r.importance for r in q["edge_importance"](spark, "").collect()}
+    between = as_map(reduction.betweenness(g, 1000), "word", "betweenness")
+    got = {(r.src, r.dst): r.importance for r in q["edge_importance_full"](spark, "").collect()}
+    assert got == pytest.approx({(s, d): v + 0.75 * (between[s] + between[d]) for (s, d), v in plain.items()}, abs=1e-8) and got != plain
+    spark.createDataFrame([("one two three four five six",)] * 2, "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert ("one", "six", 2.0) in {tuple(r) for r in q["edges_cooccurrence_full"](spark, str(tmp_path)).select("src", "dst", "weight").collect()}
