@@ -116,3 +116,16 @@ def test_section_counts(make_docs, texts):
 def test_tie_goes_to_the_earlier_section():
     section, crosses = token_counts.attribute(np.array([0, 2, 6]), np.array([2, 6, 9]), np.array([0, 4, 9]))
     assert section.tolist() == [0, 0, 1] and crosses.tolist() == [False, True, False]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_special_tokens_as_the_library_has_them(path):
+    """Texts that hold special tokens literally, against an untouched tokenizer."""
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "a", "the", ".", "é", " ", "  ", "\n", "\t", "1", "'s"]
+    fuzz = ["<|endoftext|>", "a <|endoftext|> b", *("".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(2000))]
+    want = [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in fuzz[:2]]
+    t = Tokenizer.from_file(path)
+    want += [e.ids for e in t.encode_batch(fuzz[2:], add_special_tokens=False)]
+    assert len(want[0]) == 1
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoding.Encoder(path).encode(fuzz)] == want
