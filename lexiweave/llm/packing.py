@@ -49,8 +49,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SEQU
 
         for batch in batches:
             rows = []
-            for doc, _, got in encoded(batch, enc):
-                ids = memoryview(got + end)
+            for doc, got in encoded(batch, enc):
+                ids = memoryview(bytes(got) + end)
                 n, at = len(ids) // 4, 0
                 for length in binary_lengths(n, longest):
                     own = ids[4 * at : 4 * (at + length)]

@@ -67,8 +67,8 @@ def section_tokens(docs: DataFrame, tokenizer: str, cut: Callable[[bytes], np.nd
         width = token_bytes(enc, tokenizer)
         for batch in batches:
             held, rows = [], 0
-            for doc, text, ids in encoded(batch, enc):
-                bounds = cut((text or "").encode("utf-8", "surrogatepass"))
+            for (doc, ids), text in zip(encoded(batch, enc), batch.column(1)):
+                bounds = cut((text.as_py() or "").encode("utf-8", "surrogatepass"))
                 ends = np.cumsum(width[np.frombuffer(ids, "<u4")])
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 section, crosses = attribute(starts, ends, bounds)

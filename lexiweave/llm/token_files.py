@@ -149,9 +149,9 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, l
         context, out = TaskContext.get(), None
         enc = encoder(tokenizer)
         for batch in batches:
-            for doc_id, _, ids in encoded(batch, enc):
+            for doc_id, ids in encoded(batch, enc):
                 out = out or ShardWriter(folder, f"shard-{context.partitionId():06d}-{context.taskAttemptId()}", 2 if enc.vocab_size <= 65536 else 4, length)
-                out.add(doc_id, np.frombuffer(ids + end, "<u4"))
+                out.add(doc_id, np.frombuffer(bytes(ids) + end, "<u4"))
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (context.partitionId(), out.tokens_path, out.index_path, out.n_docs, out.n_tokens)], ["shard", "tokens_path", "index_path", "n_docs", "n_tokens"])

@@ -13,12 +13,11 @@ from lexiweave.llm import encoding, packing, token_counts, token_files
 from lexiweave.llm.shared import new_folder
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ODD = [(None, None), (50, ""), (56, "x\n\n"), (51, " "), (52, "a\n\nb"), (53, "Tab\tand  two \n spaces "), (54, "é" * 3000), (55, "word " * 3000), (3, "repeat"), (3, "repeat"), (-4, "İstanbul ﬁ ́x")]
+ODD = [(None, None), (50, ""), (56, "x\n\n"), (51, " "), (52, "a\n\nb"), (53, "Tab\tand  two \n spaces "), (54, "é" * 3000), (55, "word " * 3000), (3, "repeat"), (3, "repeat"), (-4, "İstanbul ﬁ ́x"), (57, "a <|endoftext|> b<|startoftext|>c")]
 
 
 def whole(path, text, end):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -90,7 +89,6 @@ def test_section_counts(make_docs, texts):
     rows = [(i, t, "en", "s") for i, t in [*list(texts.items())[:40], *ODD]]
     got = token_counts.section_tokens(make_docs(rows), BYTE).collect()
     t = Tokenizer.from_file(BYTE)
-    t.encode_special_tokens = True
     want = []
     for i, text, *_ in rows:
         text = text or ""
