@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import drop_written, new_folder, ship, written
 
-__all__ = ["attach", "components", "drop_written", "new_folder", "semi_by_key", "ship", "table", "tidy", "written"]
+__all__ = ["attach", "components", "drop_written", "new_folder", "semi_by_key", "ship", "spare", "table", "tidy", "written"]
 
 #: Rows up to which a table of a few longs may be broadcast (some 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -42,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have in any spelling: name, with underscores before it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def semi_by_key(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """rows whose `on` is among keys. The keys go out as a broadcast only if their count is under
     BROADCAST_ROWS; otherwise both sides shuffle (and adaptive execution splits skewed keys)."""
