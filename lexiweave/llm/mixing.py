@@ -60,7 +60,8 @@ def target_shares(sizes: DataFrame, weights: list[float], factor: float, passes:
 def shuffled_streams(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
     """(stream(doc_id, source, size, begins), sizes(source, source_size)) of docs(doc_id, source, size)."""
     bits = max(0, min(24, math.ceil(math.log2(max(1, docs.count()) / PER_BIN))))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
+    # rows without an id are dealt by their size
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), F.col("size").cast("string")))).cast("binary"))
     dealt = docs.withColumn("_order", order).withColumn("_bin", F.conv(F.substring("_order", 1, 6), 16, 10).cast("long").bitwiseAND(2**24 - 1))
     dealt = dealt.withColumn("_bin", F.shiftright("_bin", 24 - bits))
     bins = written(dealt.groupBy("source", "_bin").agg(F.sum("size").alias("_sum"), F.count("*").alias("_rows")), "mix-bins")
@@ -91,7 +92,9 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int) -> DataFrame:
     total, sources = int(total or 0), int(sources)
     slots, cells = math.ceil(total / block), 4 * max(1, sources)
     scale = F.lit(cells / max(1, total))
-    held = bounds.where("target > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * scale), F.least(F.floor((F.col("lo") + F.col("target")) * scale), F.lit(cells - 1)))))
+    # a cell more on both sides, for the rounding of bounds
+    first, last = F.greatest(F.floor(F.col("lo") * scale) - 1, F.lit(0)), F.least(F.floor((F.col("lo") + F.col("target")) * scale) + 1, F.lit(cells - 1))
+    held = bounds.where("target > 0").withColumn("cell", F.explode(F.sequence(first, last)))
     numbered = spark.range(slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("x")).withColumn("at", F.col("x") * F.lit(float(total))).withColumn("cell", F.floor(F.col("x") * cells))
     met = numbered.join(held, "cell").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("target"))).select("slot", "source_no", "target", F.floor(F.col("slot") / PER_CHUNK).alias("chunk"))
     met = written(met, "mix-met")
@@ -104,7 +107,8 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int) -> DataFrame:
     ranked = ranked.select("slot", "source_no", "target", (F.col("_in") + F.col("ahead")).cast("long").alias("rank")).where(F.col("rank") < need)
     have = counts.groupBy("source_no").agg(F.sum("n").alias("have"))
     short = bounds.where("target > 0").join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < need)
-    short = short.select((F.lit(slots) + F.col("source_no")).alias("slot"), "source_no", "target", F.explode(F.sequence(F.col("have"), need - 1)).alias("rank"))
+    short = short.select("source_no", "target", "have", F.explode(F.sequence(F.col("have"), need - 1)).alias("rank"))
+    short = short.select((F.lit(slots - 1) + (F.col("rank") - F.col("have")) * sources + F.col("source_no")).alias("slot"), "source_no", "target", "rank")
     words = F.least(F.lit(block), F.col("target") - F.col("rank") * block).cast("long")
     return ranked.unionByName(short).select("slot", "source_no", "rank", words.alias("words"))
 
@@ -112,7 +116,8 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int) -> DataFrame:
 def mix(docs: DataFrame, weights: list[float], factor: float = 1.5, passes: int = 2, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(taken, pieces) of docs(doc_id, source, size).
 
-    taken: doc_id, size, source, source_size, target, taken - a row per document.
+    taken: doc_id, size, source, source_size, target, taken, first_slot (null if none), n_slots, pass_slots (the first slot
+    of each pass over the source) - a row per document.
     pieces: slot, doc_id, begins, words - the tokens [begins, begins + words) of doc_id that a slot takes."""
     spark = docs.sparkSession
     rows = written(docs.select("doc_id", "source", "size"), "mix-sizes")
@@ -129,8 +134,22 @@ def mix(docs: DataFrame, weights: list[float], factor: float = 1.5, passes: int
     pieces = cut.join(slots, ["source_no", "rank"])
     first = F.greatest(F.col("_from"), F.col("rank") * block)
     last = F.least(F.col("_from") + F.col("size"), F.col("rank") * block + F.col("words"))
-    pieces = pieces.select("slot", "source_no", F.col("begins").alias("_at"), "doc_id", (first - F.col("_from")).alias("begins"), (last - first).alias("words")).where("words > 0")
+    pieces = pieces.select("slot", "source_no", F.col("begins").alias("_at"), "_pass", "doc_id", (first - F.col("_from")).alias("begins"), (last - first).alias("words")).where("words > 0")
     # a place in a source's stream is one document, besides documents without words
-    got = pieces.groupBy("source_no", F.col("_at").alias("begins")).agg(F.sum("words").alias("taken"))
-    taken = stream.join(got, ["source_no", "begins"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    return taken.select("doc_id", "size", "source", "source_size", "target", "taken"), pieces
+    got = pieces.groupBy("source_no", F.col("_at").alias("begins")).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.countDistinct("slot").alias("n_slots"), F.array(*[F.min(F.when(F.col("_pass") == p, F.col("slot"))) for p in range(passes)]).alias("pass_slots"))
+    real = F.col("size") > 0
+    taken = stream.join(got, ["source_no", "begins"], "left").withColumn("taken", F.when(real, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    taken = taken.withColumn("first_slot", F.when(real, F.col("first_slot"))).withColumn("n_slots", F.when(real, F.coalesce("n_slots", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    return taken.select("doc_id", "size", "source", "source_size", "target", "taken", "first_slot", "n_slots", "pass_slots"), pieces
+
+
+def whole_copies(taken: DataFrame) -> DataFrame:
+    """copies(id, slot) of mix()'s taken: as many rows of an id as the mix takes whole copies of its document, to the nearest, each at the
+    slot that comes to it first. Rows of one id share their words evenly; id is that of copy_id()."""
+    by_id = taken.where("size > 0").groupBy(copy_id(F.col("doc_id"), F.col("size")).alias("id")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("n"), F.min("pass_slots").alias("slots"))
+    return by_id.where("n > 0").select("id", F.explode(F.slice("slots", 1, F.col("n"))).alias("slot"))
+
+
+def copy_id(doc_id: Column, size: Column) -> Column:
+    """What whole_copies() knows a document by: its id, or its size where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("none:"), size.cast("string")))

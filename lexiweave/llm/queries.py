@@ -17,7 +17,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     taken, _ = mixing.mix(docs, weights=[3.0, 1.0, 2.0], factor=1.5, passes=2)
-    return taken.drop("source")
+    return taken.drop("source", "pass_slots")
 
 
 def op6_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:

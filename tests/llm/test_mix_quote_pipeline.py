@@ -41,7 +41,19 @@ def test_mixing(make_docs):
         assert 0 <= r.taken <= 2 * r["size"] and r.source_size == per[r.source] and r.target == pytest.approx(want[r.source])
         found[r.source] += r.taken
     assert all(abs(found[s] - want[s]) <= 1 for s in per)
-    assert sum(r.words for r in pieces.collect()) == sum(found.values())
+    parts = pieces.collect()
+    assert sum(r.words for r in parts) == sum(found.values())
+    slots = defaultdict(set)
+    for r in parts:
+        slots[r.doc_id].add(r.slot)
+    # doc 5 stands twice, as two documents of one id
+    assert all((r.first_slot, r.n_slots) == (min(slots[r.doc_id], default=None), len(slots[r.doc_id])) for r in got if r.doc_id not in (5, None))
+    assert len({(r.slot, r.source_no) for r in parts}) == len({r.slot for r in parts})
+    block = defaultdict(int)
+    for r in parts:
+        block[r.slot] += r.words
+    last = {max(s for s, n in ((r.slot, r.source_no) for r in parts) if n == k) for k in {r.source_no for r in parts}}
+    assert all(n == 16 for s, n in block.items() if s not in last) and max(block.values()) <= 16
     again, _ = mixing.mix(docs, [3.0, 1.0, 2.0], 1.5, 2, block=16)
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
 
@@ -132,6 +144,38 @@ def test_pipeline_stages(spark, make_docs):
     assert set(kept["pack_sequences"]) == set(kept["mix_sources"])
 
 
+INNER = ["_id", "_sha", "_rows", "_copies", "_copy", "_language", "_posterior", "language", "posterior", "id", "key", "one", "other", "known", "slot", "size", "kept", "cls", "bucket", "component_id", "text_sha256", "_NORM", "lang_pred", "score", "rows", "n"]
+
+
+def test_extra_columns_with_inner_names(spark):
+    """A column of every name that a stage uses inside passes all stages with its values."""
+    rows = [(i, f"the {'abcdefghij'[i]} and of words that stand here and there " * (i + 1), "en", "s1") for i in range(10)] + [(None, "words without an id", None, None), (11, "the a and of words that stand here and there ", "en", "s2")]
+    docs = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in INNER)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in INNER))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", *INNER]
+        docs = corpus_pipeline.written(docs, "test-names")
+        got = docs.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in INNER)
+        left[name] = Counter(r.doc_id for r in got)
+    assert left["exact_dedup"] == Counter([*range(1, 10), None, 11])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_pipeline_of_nothing(spark, make_docs, tmp_path):
+    make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_mix_comes_in_schedule_order(spark, make_docs):
+    docs = make_docs([(i, "w " * (40 + i % 7), "en", f"s{i % 3}") for i in range(200)])
+    taken, _ = mixing.mix(docs.select("doc_id", "source", mixing.n_words(mixing.F.col("text")).alias("size")), corpus_pipeline.WEIGHTS, corpus_pipeline.FACTOR, corpus_pipeline.PASSES)
+    want = sorted((s, str(r.doc_id)) for r in taken.collect() for s in (r.pass_slots or [])[: int(r.taken / r["size"] + 0.5)])
+    got = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert got == [int(i) for _, i in want] and max(Counter(got).values()) == 2
+
+
 def test_registry():
     names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
