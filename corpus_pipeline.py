@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.llm import exact_dedup, jaccard_join, language, mixing, packing
-from lexiweave.llm.shared import BROADCAST_ROWS, table, written
+from lexiweave.llm.shared import BROADCAST_ROWS, spare, table, written
 
 #: Posterior below which no language is taken for granted.
 LEAST_SCORE = 0.5
@@ -25,8 +25,9 @@ WEIGHTS, FACTOR, PASSES = [3.0, 1.0, 2.0], 1.5, 2
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no letter or no likely language."""
-    found = language.identify(docs, language.fit(docs), ("_language", "_posterior"))
-    return found.where((F.col("_language") != "und") & (F.col("_posterior") >= LEAST_SCORE)).select(*docs.columns)
+    into = spare(docs, "language"), spare(docs, "posterior")
+    found = language.identify(docs, language.fit(docs), into)
+    return found.where((F.col(into[0]) != "und") & (F.col(into[1]) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +45,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources approach their target weights: a document stands as often as the mix takes it,
-    to the nearest whole copy."""
-    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    taken, _ = mixing.mix(sized, WEIGHTS, FACTOR, PASSES)
-    copies = taken.where("size > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    again = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Repeats or leaves out documents so that sources approach their target weights, in the order of the schedule: a document stands
+    as often as the mix takes it, to the nearest whole copy, each copy where the schedule first comes to it."""
+    size = mixing.n_words(F.col("text"))
+    taken, _ = mixing.mix(docs.select("doc_id", "source", size.alias("size")), WEIGHTS, FACTOR, PASSES)
+    known, slot = spare(docs, "known"), spare(docs, "slot")
+    copies = mixing.whole_copies(taken).select(F.col("id").alias(known), F.col("slot").alias(slot))
+    laid = docs.withColumn(known, mixing.copy_id(F.col("doc_id"), size)).join(copies, known)
+    return laid.repartitionByRange(slot).sortWithinPartitions(slot, known).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
