@@ -3,8 +3,8 @@
 Fit: the labelled documents of the training fold are thinned to about ``SAMPLE_DOCS`` by a hash of doc_id (a
 documented bound on the fit alone), n-grams are counted per language and bucket in a fixed number of tasks, and the smoothed
 log-probabilities form one float32 matrix (2^15 x languages) that is broadcast: its size does not depend on the corpus.
-Score: whole texts, in windows that overlap by n - 1 characters; each window's n-grams gather rows of the
-matrix and are summed per document in numpy. The posterior tempers the evidence to that of ``EVIDENCE``
+Score: whole texts, a window of characters at a time that carries the last n - 1 on, so every n-gram counts once; each window's n-grams
+gather rows of the matrix and are summed per document in numpy. The posterior tempers the evidence to that of ``EVIDENCE``
 n-grams, so mixed or odd texts do not all end at 1.
 
 Cases: a null text or one without a letter is ``und`` with score 0; no training rows at all leave every text
@@ -52,31 +52,35 @@ def _letter_table():
     return _letters[0]
 
 
-def grams(text: str):
-    """(hash buckets of every n-gram of letters of text, their number of letters). Other characters are one mark each run."""
+def gram_windows(text: str):
+    """(hash buckets of n-grams, number of letters) of text, WINDOW characters at a time; each n-gram counts once, in the window of its last character.
+
+    Characters that are no letters are one mark each run, and one mark stands before the first word."""
     import numpy as np
 
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letter_table()[code]
-    n = int(letter.sum())
-    if not n:
-        return np.empty(0, np.uint16), 0
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first mark after a word stays
-    code = np.where(letter, code, 32)[keep]
-    if code[0] != 32:
-        code = np.concatenate([[np.uint32(32)], code])
-    h, found = np.zeros(len(code), np.uint32), []
-    for order in range(1, max(ORDERS) + 1):
-        h = (h[: len(code) - order + 1] * np.uint32(0x9E3779B1)) ^ (code[order - 1 :] * np.uint32(0x85EBCA6B) + np.uint32(order))
-        if order in ORDERS:
-            found.append(((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BUCKET_BITS))
-    return np.concatenate(found), n
-
-
-def _windows(text: str):
+    text = text.lower()
+    code, after_letter = np.empty(0, np.uint32), False
     for at in range(0, len(text), WINDOW):
-        yield text[at : at + WINDOW + max(ORDERS) - 1]
+        raw = np.frombuffer(text[at : at + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letter_table()[raw]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # the first mark after a word stays
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        new = np.where(letter, raw, 32)[keep].astype(np.uint32)
+        if not len(new):
+            continue
+        before = code[max(0, len(code) - max(ORDERS) + 1) :]
+        if not len(before):
+            new = np.concatenate([[np.uint32(32)], new])
+        code = np.concatenate([before, new])
+        h, found = np.zeros(len(code), np.uint32), []
+        for order in range(1, max(ORDERS) + 1):
+            h = (h[: max(0, len(code) - order + 1)] * np.uint32(0x9E3779B1)) ^ (code[order - 1 :] * np.uint32(0x85EBCA6B) + np.uint32(order))
+            if order in ORDERS:
+                own = h[max(0, len(before) - order + 1) :]
+                found.append(((own ^ (own >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BUCKET_BITS))
+        yield np.concatenate(found), int(letter.sum())
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -104,11 +108,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
         total: dict[str, object] = {}
         docs_of: dict[str, int] = {}
         for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, text in zip(*batch.columns):
+                lang = lang.as_py()
                 into = total.setdefault(lang, np.zeros(size, np.int64))
                 docs_of[lang] = docs_of.get(lang, 0) + 1
-                for part in _windows(text):
-                    into += np.bincount(grams(part)[0], minlength=size)
+                for h, _ in gram_windows(text.as_py()):
+                    into += np.bincount(h, minlength=size)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([docs_of[x] for x in total]), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["lang", "n", "counts"])
 
@@ -132,10 +137,8 @@ def score_texts(model: Model, texts) -> list[tuple[str, float]]:
     found = []
     for text in texts:
         evidence, n_grams, letters = 0.0, 0, 0
-        for part in _windows(text or ""):
-            h, n = grams(part)
-            if len(h):
-                evidence = evidence + model.log_prob[h].sum(axis=0, dtype=np.float64) if model.languages else evidence
+        for h, n in gram_windows(text or ""):
+            evidence = evidence + model.log_prob[h].sum(axis=0, dtype=np.float64) if model.languages else evidence
             n_grams, letters = n_grams + len(h), letters + n
         if not letters or not model.languages:
             found.append(("und", 0.0))

@@ -38,12 +38,54 @@ def test_language_cases(make_docs):
     assert [r.lang_pred for r in language.identify(make_docs([(1, "text", "en", "s")]), nothing).collect()] == ["und"]
 
 
-def test_windows_add_up(monkeypatch):
-    text = "the quick über fox, and so on " * 50
-    whole = np.bincount(language.grams(text)[0], minlength=1 << language.BUCKET_BITS)
-    monkeypatch.setattr(language, "WINDOW", 97)
-    parts = sum(np.bincount(language.grams(p)[0], minlength=1 << language.BUCKET_BITS) for p in language._windows(text))
-    assert np.abs(whole - parts).sum() < 0.1 * whole.sum()
+def spelled(text):
+    """The n-grams of a text, one by one: words between single marks, with a mark in front and one after the last word if anything follows it."""
+    text = text.lower()
+    marked = "".join(c if c.isalpha() else " " for c in text)
+    if not marked.strip():
+        return []
+    end = " " if marked[-1] == " " else ""
+    marked = " " + " ".join(marked.split()) + end
+    found = []
+    for n in language.ORDERS:
+        for i in range(len(marked) - n + 1):
+            h = 0
+            for k, c in enumerate(marked[i : i + n]):
+                h = ((h * 0x9E3779B1) ^ (ord(c) * 0x85EBCA6B + k + 1)) & 0xFFFFFFFF
+            found.append((((h ^ (h >> 15)) * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - language.BUCKET_BITS))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("window", [400_000, 97, 7, 1])
+def test_every_ngram_counts_once(monkeypatch, window):
+    monkeypatch.setattr(language, "WINDOW", window)
+    for text in ("the quick über fox, and so on -- " * 9, " .. ", "", "a", "İx 1 Σας", "word", "x  y", "日本 語。"):
+        parts = list(language.gram_windows(text))
+        assert sorted(x for h, _ in parts for x in h.tolist()) == spelled(text)
+        assert sum(n for _, n in parts) == sum(c.isalpha() for c in text.lower())
+
+
+def test_language_scores_by_hand(make_docs):
+    """The whole model and score against naive Bayes written out over dictionaries."""
+    rng = __import__("random").Random(3)
+    rows = [(i, " ".join(rng.choices(w, k=rng.randint(1, 12))), lang, None) for i in range(60) for lang, w in [(("en", ["the", "and", "of", "with"]), ("de", ["der", "und", "mit", "von"]), (None, ["xx"]))[i % 3]]]
+    docs = make_docs(rows)
+    counts, n_docs = {}, {}
+    for i, t, lang, _ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            n_docs[lang] = n_docs.get(lang, 0) + 1
+            for h in spelled(t):
+                counts.setdefault(lang, {}).setdefault(h, 0)
+                counts[lang][h] += 1
+    size = 1 << language.BUCKET_BITS
+    for r in language.identify(docs, language.fit(docs)).collect():
+        grams, at = spelled(r.text), {}
+        for lang in counts:
+            total = sum(counts[lang].values()) + language.SMOOTH * size
+            seen = sum(np.log((counts[lang].get(h, 0) + language.SMOOTH) / total) for h in grams)
+            at[lang] = seen * min(1, language.EVIDENCE / len(grams)) + np.log(n_docs[lang] / sum(n_docs.values()))
+        best = max(sorted(at), key=at.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(np.exp(at[x] - at[best]) for x in at), rel=1e-3)
 
 
 @pytest.fixture(scope="module")
