@@ -48,3 +48,9 @@ def surprise(p) -> Column:
     """-p * log2(p)."""
     p = F.col(p) if isinstance(p, str) else p
     return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
+
+
+def chance(*columns) -> Column:
+    """A number in (0, 1) from a hash of the columns' text, the same on every run and in every engine."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in columns]).cast("binary")), 1, 8), 16, 10)
+    return (digits.cast("double") + 0.5) / float(1 << 32)

@@ -10,6 +10,12 @@ from ..graph import WordGraph
 # Words that pruning removes.
 ARTICLES = ("the", "a", "an")
 CONJUNCTIONS = ("and", "but", "or", "nor", "for", "so", "yet", "because", "since", "while", "although", "though", "unless", "until", "before", "after", "when", "where", "if", "whether")
+# Function words that a pruned graph may still have as sources.
+REMAINING_WORDS = (
+    "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "can", "could", "should", "may", "might", "must",
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their",
+    "in", "on", "at", "by", "with", "from", "to", "of", "about", "into", "through",
+)
 # What an edge of each data set counts in the weighted merges.
 SOURCE_FACTORS = {"conceptnet57": 1.0, "swow_en18": 2.0, "eat": 1.5, "conceptnet": 1.0}
 TARGETED_FACTORS = {"swow": 3.0, "usf": 1.5, "conceptnet": 0.3}
@@ -35,6 +41,24 @@ def merge_running_average(edges: DataFrame, factor: Column, order: list[str], se
     return got.select("src", "dst", F.bround(fold, 6).alias("weight"))
 
 
+def _merge_named(edges: DataFrame, names: list[str], order: list[str], self_loops: bool) -> DataFrame:
+    """Running average of edges(name, src, dst, weight) of the data sets in `names`, in that order, each times its factor."""
+    place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    factor = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(TARGETED_FACTORS.get(n.removesuffix("_light"), 1.0)))])
+    rows = edges.where(F.col("name").isin(*names)).withColumn("_place", place[F.col("name")])
+    return merge_running_average(rows, factor[F.col("name")] * F.col("weight"), ["_place", *order], self_loops)
+
+
+def merge_complete(edges: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """src, dst, weight of edges(name, src, dst, weight): SWOW, then USF, then ConceptNet, by running average; self-loops stay."""
+    return _merge_named(edges, ["swow", "usf", "conceptnet"], order or [], True)
+
+
+def merge_targeted(edges: DataFrame, names: list[str], order: list[str] | None = None) -> DataFrame:
+    """As merge_complete, over the data sets in `names` in the order given (`_light` in a name doesn't count), without self-loops."""
+    return _merge_named(edges, names, order or [], False)
+
+
 def prune(graph: WordGraph, words=ARTICLES + CONJUNCTIONS) -> DataFrame:
     """Edges without those from or to a listed word that is a source; a listed word that is only a target stays."""
     stop = F.broadcast(graph.sources.where(F.col("word").isin(*words)))
@@ -53,10 +77,11 @@ def prune_impact(graph: WordGraph, words=ARTICLES + CONJUNCTIONS) -> DataFrame:
 
 
 def prune_comparison(graph: WordGraph, words=ARTICLES + CONJUNCTIONS) -> DataFrame:
-    """One row: words and edges before and after pruning, and the share that went."""
+    """One row: words and edges before and after pruning, the share that went, and how many of the listed function words are still sources."""
     after = WordGraph(prune(graph, words), graph.letters)
     count = lambda g, tag: g.edges.agg(F.count("*").alias(f"edges_{tag}")).crossJoin(g.words.agg(F.count("*").alias(f"words_{tag}")))
-    rows = count(graph, "before").crossJoin(count(after, "after"))
+    left = after.sources.where(F.col("word").isin(*REMAINING_WORDS)).agg(F.count("*").alias("function_words_left"))
+    rows = count(graph, "before").crossJoin(count(after, "after")).crossJoin(left)
     return rows.withColumn("edge_percent", 100.0 * (F.col("edges_before") - F.col("edges_after")) / F.col("edges_before")).withColumn("word_percent", 100.0 * (F.col("words_before") - F.col("words_after")) / F.col("words_before"))
 
 

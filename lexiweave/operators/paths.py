@@ -78,6 +78,22 @@ def shortest_paths(graph: WordGraph, pairs: DataFrame, max_depth: int = 4) -> Da
     return targets.join(seen.withColumnRenamed("at", "target"), ["start", "target"], "left").select("start", "target", "path", F.coalesce("product", F.lit(0.0)).alias("product"))
 
 
+def ways_to(graph: WordGraph, targets: DataFrame, longest: int) -> DataFrame:
+    """target, word, words, product: for every word the number of words on, and the product of raw weights along, its first path in breadth-first
+    order to the target (ties by the path's words), up to `longest` words. One backward search from each target: the first step of such a path
+    is the smallest neighbour that is a move nearer."""
+    front = written(targets.select("target", F.col("target").alias("word"), F.lit(1).alias("words"), F.lit(1.0).alias("product")), "ways-1")
+    seen = front
+    for words in range(2, longest + 1):
+        steps = front.join(graph.edges, front["word"] == graph.edges["dst"]).groupBy("target", F.col("src").alias("at")).agg(F.min(F.struct("dst", (F.col("weight") * F.col("product")).alias("product"))).alias("m"))
+        steps = steps.select("target", F.col("at").alias("word"), F.lit(words).alias("words"), "m.product")
+        front = written(steps.join(seen.select("target", "word"), ["target", "word"], "left_anti"), f"ways-{words}")
+        if not front.limit(1).count():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def path_measures(graph: WordGraph, words, max_steps: int = 3, min_weight: float = 0.0) -> DataFrame:
     """Simple paths from each word to their first trap with steps, probability, entropy, gain and score (the declarative search).
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import is_trap
+from ..functions.words import chance, is_trap
 from ..graph import WordGraph
 from .multistep import first_hit_one, hit_within
-from .paths import shortest_paths
+from .paths import best_first_paths, shortest_paths
+from .ranking import pagerank_positions
+from .strategy import analyze
 
 
 def trap_effectiveness(graph: WordGraph, k: int = 2) -> DataFrame:
@@ -31,13 +33,24 @@ def average_degree(graph: WordGraph) -> DataFrame:
     return e.crossJoin(v).select(F.when(F.col("v") > 0, 2 * F.col("e") / F.col("v")).alias("both_ends"), F.when(F.col("v") > 0, F.col("e") / F.col("v")).alias("one_end"))
 
 
-def word_details(graph: WordGraph) -> DataFrame:
-    """word, degree, is_trap, least, greatest and mean weight, strongest trap neighbour and strongest source into it."""
-    trap = F.when(is_trap("dst", graph.letters), F.struct((-F.col("weight")).alias("w"), "dst"))
-    out = graph.edges.groupBy(F.col("src").alias("word")).agg(F.count("*").alias("degree"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"), F.avg("weight").alias("mean_weight"), F.min(trap).alias("t"))
-    into = graph.edges.groupBy(F.col("dst").alias("word")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "src")).alias("s"))
-    rows = out.join(into, "word", "left")
-    return rows.select("word", "degree", is_trap("word", graph.letters).alias("is_trap"), "min_weight", "max_weight", "mean_weight", F.col("t.dst").alias("top_trap"), F.col("s.src").alias("top_incoming"))
+def word_details(graph: WordGraph, **rank) -> DataFrame:
+    """word, degree, is_trap, least, greatest and mean weight, the ten strongest neighbours, five strongest trap neighbours and ten strongest
+    sources into it (arrays, strongest first), PageRank and its position."""
+    trap = is_trap("dst", graph.letters)
+    strongest = lambda rows, by, to, k: _strongest(rows.select(F.col(by).alias("word"), F.col(to).alias("other"), "weight"), k)
+    rows = graph.edges.groupBy(F.col("src").alias("word")).agg(F.count("*").alias("degree"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"), F.avg("weight").alias("mean_weight"))
+    for name, part in (("top_out", strongest(graph.edges, "src", "dst", 10)), ("top_traps", strongest(graph.edges.where(trap), "src", "dst", 5)), ("top_in", strongest(graph.edges, "dst", "src", 10))):
+        rows = rows.join(part.withColumnRenamed("others", name), "word", "left")
+    rows = rows.join(pagerank_positions(graph, **rank), "word")
+    empty = F.array().cast("array<string>")
+    return rows.select("word", "degree", is_trap("word", graph.letters).alias("is_trap"), "min_weight", "max_weight", "mean_weight", *[F.coalesce(c, empty).alias(c) for c in ("top_out", "top_traps", "top_in")], "pagerank", "position")
+
+
+def _strongest(rows: DataFrame, k: int) -> DataFrame:
+    """word, others: the k heaviest of rows(word, other, weight) of each word, in order."""
+    order = Window.partitionBy("word").orderBy(F.col("weight").desc(), "other")
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]).alias("others"))
 
 
 def playable_moves(graph: WordGraph, k: int = 8) -> DataFrame:
@@ -82,7 +95,7 @@ def network_score(features: Column, weights: list[float]) -> Column:
 def weighted_choice(graph: WordGraph, listed: DataFrame, target_odds: DataFrame | None = None, seed: int = 7) -> DataFrame:
     """word, move: a seeded draw for each source, in proportion to weight * (.5 for words of listed(word)) * (1 + 10 * odds, or .001 without a way
     to the target; only if target_odds(word, odds) are given) * noise in (.7, 1.3)."""
-    u = lambda tag: (F.pmod(F.xxhash64("src", "dst", F.lit(seed), F.lit(tag)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = lambda tag: chance(F.col("src"), F.col("dst"), F.lit(seed), F.lit(tag))
     rows = graph.edges.join(listed.select(F.col("word").alias("dst"), F.lit(True).alias("on")), "dst", "left")
     w = F.col("weight") * F.when(F.col("on"), 0.5).otherwise(1.0) * (0.7 + 0.6 * u("noise"))
     if target_odds is not None:
@@ -91,3 +104,15 @@ def weighted_choice(graph: WordGraph, listed: DataFrame, target_odds: DataFrame
     # the smallest of -log(u) / w falls on each move in proportion to w
     drawn = F.min(F.struct((-F.log(u("draw")) / w).alias("k"), F.col("dst").alias("move")))
     return rows.groupBy(F.col("src").alias("word")).agg(drawn.alias("d")).select("word", "d.move")
+
+
+def strategic_depth(graph: WordGraph, words: DataFrame, max_k: int = 5) -> DataFrame:
+    """The multi-step analysis of those of words(word) that are sources."""
+    return analyze(graph, words.join(graph.sources, "word", "left_semi"), max_k)
+
+
+def pathway_report(graph: WordGraph, words: DataFrame, max_steps: int = 3, keep: int = 5) -> DataFrame:
+    """word, cumulative, total, strategic, path_count and its `keep` best paths (array of path, steps, probability, score)."""
+    best = best_first_paths(graph, words, max_steps, keep).groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "path", "steps", "probability", "score"))).alias("b"))
+    rows = analyze(graph, words, max_steps).drop("paths", "avg_entropy", "max_gain").join(best, "word", "left")
+    return rows.withColumn("best", F.transform("b", lambda x: F.struct(x["path"].alias("path"), x["steps"].alias("steps"), x["probability"].alias("probability"), x["score"].alias("score")))).drop("b")

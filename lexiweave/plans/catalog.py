@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.words import is_trap
 from ..graph import WordGraph
 from ..operators import merging, metrics, multistep, pagerank, paths, ranking, reduction, reports, simulation, strategy
-from ..operators.merging import ARTICLES, CONJUNCTIONS
+from ..operators.merging import ARTICLES, CONJUNCTIONS, REMAINING_WORDS
 from ..operators.metrics import FUNCTION_WORDS
 from ..sources import edges as sources
 from . import oracles
@@ -65,6 +65,56 @@ def _swow(spark, _):
     return sources.parse_swow(spark.createDataFrame(SWOW_ROWS, "cue string, response string, `strength.R123` string, `strength` string"))
 
 
+#: Targets of the games and of the trap report.
+TARGETS = ("the", "la", "der")
+
+
+def _conceptnet_table(g: WordGraph) -> DataFrame:
+    """Every edge of a graph as assertion lines: two with a fourth of the weight, or one without a weight; odd relations and languages among them."""
+    rel = F.element_at(F.array(F.lit("/r/RelatedTo"), F.lit("/r/IsA"), F.lit("/r/dbpedia")), F.length("src") % 3 + 1)
+    lang = F.when(F.length("dst") % 7 == 0, "fr").otherwise("en")
+    meta = F.when(F.col("weight") > 2, F.concat(F.lit('{"weight": '), (F.col("weight") / 4).cast("string"), F.lit("}"))).otherwise(F.lit('{"source": 1}'))
+    value = F.concat_ws("\t", F.lit("/a/1"), rel, F.concat(F.lit("/c/"), lang, F.lit("/"), F.col("src"), F.lit("/n")), F.concat(F.lit("/c/en/"), F.col("dst")), meta)
+    return g.edges.select((F.length("src") * 1000 + F.length("dst")).cast("long").alias("line"), value.alias("value"), F.explode(F.when(F.col("weight") > 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+def _colon_table(g: WordGraph) -> DataFrame:
+    """Edges of weight 2 as triples, the others in one line a source."""
+    triples = g.edges.where("weight = 2").select(F.concat_ws(" ", "src", F.upper("dst"), F.col("weight").cast("string")).alias("value"))
+    pairs = g.edges.where("weight <> 2").groupBy(F.upper("src").alias("cue")).agg(F.concat_ws(", ", F.collect_list(F.concat_ws(" ", "dst", F.col("weight").cast("string")))).alias("p"))
+    return triples.unionByName(pairs.select(F.concat_ws(": ", "cue", "p").alias("value")))
+
+
+def _association_table(g: WordGraph) -> DataFrame:
+    mark = F.when(F.length("dst") % 5 == 0, F.lit("# ")).otherwise(F.lit(" "))
+    return g.edges.select(F.concat(mark, F.upper("src"), F.lit("\t"), F.col("dst"), F.lit("  "), F.col("weight").cast("string"), F.lit(" x")).alias("value"))
+
+
+def _swow_table(g: WordGraph) -> DataFrame:
+    """line, value with a header; the strength of odd weights stands in the last column, with text that is no number before it."""
+    even = F.col("weight") % 2 == 0
+    row = F.concat_ws("\t", F.initcap("src"), "dst", F.lit("7"), F.when(even, (F.col("weight") / 8).cast("string")).otherwise(F.lit("n/a")), F.when(even, F.lit("9")).otherwise((F.col("weight") / 16).cast("string")))
+    head = g.edges.sparkSession.createDataFrame([(1, '"cue"\tresponse\tR1\tstrength.R123\t"strength"')], "line long, value string")
+    return head.unionByName(g.edges.select((F.length("src") + 1).cast("long").alias("line"), row.alias("value")))
+
+
+def _named(s, d, self_loops: bool) -> DataFrame:
+    """The documents' sources as three data sets."""
+    n = F.substring("source", -1, 1)
+    name = F.when(n.isin("0", "3", "6", "9"), "swow").when(n.isin("1", "4", "7"), "usf").otherwise("conceptnet")
+    per = sources.document_edges(s.read.parquet(f"{d}/documents.parquet"), 2.0, ("source",), self_loops)
+    return per.withColumn("name", name if self_loops else F.when(name == "conceptnet", "conceptnet_light").otherwise(name))
+
+
+def _pairs(s, starts=START, targets=TARGETS) -> DataFrame:
+    return s.createDataFrame([(a, b) for a in starts for b in targets], "start string, target string")
+
+
+def _plain(g: WordGraph) -> dict:
+    """Ranks of a fixed number of rounds and no betweenness, for the reduction that SQL can follow."""
+    return {"ranks": pagerank.pagerank(g, trap_bias=1.0, **ITERATIONS), "between": g.words.select("word", F.lit(0.0).alias("betweenness"))}
+
+
 def _words(spark, d, names=START) -> DataFrame:
     """The start words of the single-word operators."""
     return spark.createDataFrame([(w,) for w in names], "word string")
@@ -97,6 +147,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "colon_parse": lambda s, d: sources.parse_colon_lines(_lines(s, COLON_LINES)),
         "association_parse": lambda s, d: sources.parse_association_lines(_lines(s, ASSOCIATION_LINES)),
         "swow_parse": _swow,
+        "conceptnet_scan": lambda s, d: sources.parse_conceptnet(_conceptnet_table(g(s, d)), sources.CONCEPTNET_WIDE),
+        "conceptnet_light_scan": lambda s, d: sources.parse_conceptnet(_conceptnet_table(g(s, d)), sources.CONCEPTNET_LIGHT, 15, 0.5, "max", 500, 1000),
+        "colon_scan": lambda s, d: sources.parse_colon_lines(_colon_table(g(s, d))),
+        "association_scan": lambda s, d: sources.parse_association_lines(_association_table(g(s, d))),
+        "swow_targeted_scan": lambda s, d: sources.parse_swow(sources.delimited(_swow_table(g(s, d)))),
+        "swow_manual_scan": lambda s, d: sources.parse_swow_lines(_swow_table(g(s, d)), last_line=9),
         # words and metrics
         "all_words": lambda s, d: g(s, d).words,
         "trap_words": lambda s, d: g(s, d).words.where("is_trap").select("word"),
@@ -144,7 +200,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "direct_targets": lambda s, d: _r(paths.direct_targets(g(s, d), g(s, d).sources)),
         "bfs_distance": lambda s, d: paths.distances(g(s, d), START, 3),
         "all_paths_scored": lambda s, d: _r(paths.path_measures(g(s, d), START, 2).select("word", F.array_join("path", " ").alias("path"), "steps", "probability", "entropy", "gain", "score")),
-        "shortest_paths": lambda s, d: paths.shortest_paths(g(s, d), _words(s, d).withColumnRenamed("word", "start").crossJoin(_words(s, d, ("the", "and", "la", "der")).withColumnRenamed("word", "target"))),
+        "shortest_paths": lambda s, d: paths.shortest_paths(g(s, d), _pairs(s, targets=("the", "and", "la", "der"))).withColumn("path", F.array_join("path", " ")),
+        "ways_to": lambda s, d: paths.ways_to(g(s, d), _words(s, d, TARGETS).withColumnRenamed("word", "target"), 8),
         "best_first_paths": lambda s, d: paths.best_first_paths(g(s, d), START, 4, 10),
         "analyze_multi_step": lambda s, d: strategy.analyze(g(s, d), _words(s, d), 3),
         # merging, pruning, reduction
@@ -160,16 +217,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "betweenness_sampled": lambda s, d: reduction.betweenness(g(s, d), 1000),
         "edge_importance": lambda s, d: _r(reduction.edge_importance(g(s, d), pagerank.pagerank(g(s, d), trap_bias=1.0, **ITERATIONS), g(s, d).words.select("word", F.lit(0.0).alias("betweenness")))),
         "edge_importance_full": lambda s, d: _r(reduction.edge_importance(g(s, d), pagerank.pagerank(g(s, d), trap_bias=1.0, **ITERATIONS), reduction.betweenness(g(s, d), 1000))),
+        "merge_complete": lambda s, d: merging.merge_complete(_named(s, d, True), ["source"]),
+        "merge_targeted": lambda s, d: merging.merge_targeted(_named(s, d, False), ["usf", "conceptnet_light"], ["source"]),
+        "reduce_sizes": lambda s, d: reduction.reduce_sizes(g(s, d), **_plain(g(s, d))),
         "reduce_edges": lambda s, d: reduction.reduce_edges(g(s, d), 0.3, 1000, 50),
         # reports
         "trap_effectiveness": lambda s, d: _r(reports.trap_effectiveness(g(s, d))),
         "degrees": lambda s, d: reports.degrees(g(s, d)),
         "average_degree": lambda s, d: _r(reports.average_degree(g(s, d))),
-        "word_details": lambda s, d: _r(reports.word_details(g(s, d))),
+        "word_details": lambda s, d: _r(reports.word_details(g(s, d), **ITERATIONS).withColumns({c: F.array_join(c, " ") for c in ("top_out", "top_traps", "top_in")})),
+        "strategic_depth": lambda s, d: reports.strategic_depth(g(s, d), _words(s, d), 3),
+        "pathway_report": lambda s, d: reports.pathway_report(g(s, d), _words(s, d)),
         "playable_moves": lambda s, d: reports.playable_moves(g(s, d)).select("word", F.array_join("moves", " ").alias("moves")),
         "position_scores": _positions,
         "weighted_choice": lambda s, d: reports.weighted_choice(g(s, d), _words(s, d)),
-        "trap_potential": lambda s, d: reports.trap_potential(g(s, d), _words(s, d).select(F.col("word").alias("start")).crossJoin(_words(s, d, ("the", "la", "der")).select(F.col("word").alias("target"))), 3),
+        "trap_potential": lambda s, d: reports.trap_potential(g(s, d), _pairs(s), 3).withColumn("path", F.array_join("path", " ")),
         # strategy and simulation
         "self_safety": lambda s, d: _r(strategy.self_safety(g(s, d), 3)),
         "opponent_danger": lambda s, d: _r(strategy.opponent_danger(g(s, d), 3)),
@@ -178,14 +240,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "avoid_move_score": lambda s, d: _r(strategy.avoid_scores(g(s, d))),
         "strategic_value": lambda s, d: strategy.evaluate_moves(g(s, d), _words(s, d), "medium"),
         "choose_move": lambda s, d: strategy.choose_moves(g(s, d), _words(s, d), "expert"),
-        "simulate_games": lambda s, d: simulation.simulate_games(g(s, d), 50, "greedy", "random", 8),
-        "tournament": lambda s, d: simulation.tournament(g(s, d), games=5, max_turns=6),
+        "recommend_multistep": lambda s, d: _r(strategy.multistep_recommend(g(s, d), _words(s, d), 10, **ITERATIONS)),
+        "simulate_games": lambda s, d: _r(simulation.simulate_games(g(s, d), 100, "greedy", "smart", 20)),
+        "simulate_target_games": lambda s, d: _r(simulation.simulate_games(g(s, d), 100, "smart", "random", 20, target="the")),
+        "tournament": lambda s, d: _r(simulation.tournament(g(s, d), games=10, max_turns=20)),
+        "strategic_game": lambda s, d: simulation.strategic_game(g(s, d), "and", 15, "le", **ITERATIONS),
+        "weighted_games": lambda s, d: simulation.weighted_games(g(s, d), _pairs(s), 15).withColumn("path", F.array_join("path", " ")),
     }
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.build(FUNCTION_WORDS, ARTICLES + CONJUNCTIONS, START)
+    return oracles.build(FUNCTION_WORDS, ARTICLES + CONJUNCTIONS, START, TARGETS, REMAINING_WORDS)
 
 
 __all__ = ["graph", "is_trap", "oracle_sql", "queries"]

@@ -62,7 +62,92 @@ def _in(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in sorted(set(words))) + ")"
 
 
-def build(function_words, stop_words, starts) -> dict[str, str]:
+def _chance(*parts: str) -> str:
+    return f"(('0x' || left(md5(concat_ws(':', {', '.join(parts)})), 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
+
+
+def _values(rows, names: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") v({names})"
+
+
+def _forward(pairs, longest: int) -> str:
+    """front levels f1.. of breadth-first search from every start, with the smallest path to each new word."""
+    sql = f", pairs0 AS (SELECT * FROM {_values(pairs, 'start, target')}), f1 AS MATERIALIZED (SELECT DISTINCT start, start AS here, [start] AS path, 1::DOUBLE AS product FROM pairs0)"
+    for i in range(2, longest + 1):
+        seen = " UNION ALL ".join(f"SELECT start, here FROM f{k}" for k in range(1, i))
+        sql += f", f{i} AS MATERIALIZED (SELECT start, dst AS here, min(list_append(path, dst)) AS path, arg_min(product * weight, list_append(path, dst)) AS product FROM f{i-1} JOIN edges ON src = here WHERE (start, dst) NOT IN ({seen}) GROUP BY 1, 2)"
+    found = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, longest + 1))
+    return sql + f", found AS (SELECT p.start, p.target, coalesce(array_to_string(path, ' '), NULL) AS path, coalesce(product, 0)::DOUBLE AS product FROM (SELECT DISTINCT * FROM pairs0) p LEFT JOIN ({found}) f ON f.start = p.start AND f.here = p.target)"
+
+
+def _backward(targets: str, longest: int) -> str:
+    """ways(target, word, words, product): levels of a backward search from every target."""
+    sql = f", b1 AS MATERIALIZED (SELECT target, target AS word, 1::DOUBLE AS product FROM ({targets}))"
+    for i in range(2, longest + 1):
+        sql += f", b{i} AS MATERIALIZED (SELECT target, src AS word, arg_min(weight * product, dst) AS product FROM b{i-1} JOIN edges ON dst = word WHERE "
+        sql += " AND ".join(f"NOT EXISTS (SELECT 1 FROM b{k} x WHERE x.target = b{i-1}.target AND x.word = src)" for k in range(1, i)) + " GROUP BY 1, 2)"
+    return sql + ", ways AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT target, word, {k} AS words, product FROM b{k}" for k in range(1, longest + 1)) + ")"
+
+
+def _games(games: str, turns: int, target: bool, seed: int = 7, difficulty: float = 0.8) -> str:
+    """ends(game, first, second, ending, mover, turns) of games(game, word, first, second, target)."""
+    sql = MOVES + """, risk AS (SELECT src AS word, coalesce(sum(p) FILTER (WHERE trap), 0) AS share FROM moves GROUP BY src),
+      sc AS MATERIALIZED (SELECT src, dst, weight, trap, round(weight * (1 + coalesce(share, 0)), 9) AS avoid FROM moves LEFT JOIN risk ON word = dst)"""
+    sql += f", games AS MATERIALIZED ({games})"
+    if target:
+        sql += ", n0 AS (SELECT DISTINCT target, target AS word FROM games)" + "".join(f", n{k} AS MATERIALIZED (SELECT DISTINCT target, src AS word FROM n{k-1} JOIN edges ON dst = word)" for k in (1, 2, 3))
+        sql += ", near AS MATERIALIZED (SELECT * FROM n0 UNION SELECT * FROM n1 UNION SELECT * FROM n2 UNION SELECT * FROM n3)"
+    ends, live = [], "games"
+    for t in range(1, turns + 1):
+        side = "first" if t % 2 else "second"
+        smart = "weight * CASE WHEN near.word IS NOT NULL THEN 2::DOUBLE ELSE 1::DOUBLE END * CASE WHEN trap THEN 0.5::DOUBLE ELSE 1::DOUBLE END" if target else "weight * CASE WHEN trap THEN 0.3::DOUBLE ELSE 1::DOUBLE END"
+        join = " LEFT JOIN near ON near.target = l.target AND near.word = s.dst" if target else ""
+        sql += f""", o{t} AS (SELECT game, dst, {side} AS mover, weight, avoid, {_chance(f"'{seed}'", "game", f"'{t}'", "dst")} AS luck,
+            {_chance(f"'{seed}'", "game", f"'{t}'")} < {difficulty}::DOUBLE AS sharp, row_number() OVER (PARTITION BY game ORDER BY {smart} DESC, dst) AS n FROM {live} l JOIN sc s ON s.src = l.word{join}),
+          m{t} AS MATERIALIZED (SELECT game, dst FROM o{t} QUALIFY row_number() OVER (PARTITION BY game ORDER BY CASE mover WHEN 'greedy' THEN weight WHEN 'avoid' THEN avoid WHEN 'smart' THEN CASE WHEN sharp AND n > 3 THEN -1 ELSE luck END ELSE luck END DESC, luck DESC, dst DESC) = 1),
+          s{t} AS MATERIALIZED (SELECT l.game, l.first, l.second, l.target, dst AS word FROM {live} l LEFT JOIN m{t} USING (game)),
+          l{t} AS MATERIALIZED (SELECT * FROM s{t} WHERE word IS NOT NULL{' AND word IS DISTINCT FROM target' if target and t < turns else ''})"""
+        live = f"l{t}"
+        ends.append(f"SELECT game, first, second, 'stuck' AS ending, '{side}' AS mover, {t - 1} AS turns FROM s{t} WHERE word IS NULL")
+        if target and t < turns:
+            ends.append(f"SELECT game, first, second, 'target', '{side}', {t} FROM s{t} WHERE word = target")
+    ends.append(f"SELECT game, first, second, 'timeout', '', {turns} FROM {live}")
+    return sql + ", ends AS MATERIALIZED (" + " UNION ALL ".join(ends) + ")"
+
+
+def _simulated(n: int, first: str, second: str, turns: int, target: str | None) -> str:
+    games = f"SELECT word || '|{first}|{second}' AS game, word, '{first}' AS first, '{second}' AS second, {repr(target) if target else 'NULL::VARCHAR'} AS target FROM words ORDER BY md5('7:' || word), word LIMIT {n}"
+    return _games(games, turns, bool(target)) + """ SELECT CASE ending WHEN 'stuck' THEN 'trapped' WHEN 'target' THEN mover ELSE 'timeout' END AS result, count(*) AS games, round(avg(turns), 9) AS avg_turns, min(turns)::INTEGER AS min_turns, max(turns)::INTEGER AS max_turns,
+        round(100::DOUBLE * count(*) / sum(count(*)) OVER (), 9) AS percent FROM ends GROUP BY 1"""
+
+
+def _weighted(pairs, turns: int) -> str:
+    sql = _backward(f"SELECT DISTINCT target FROM {_values(pairs, 'start, target')}", turns) + f", l0 AS (SELECT DISTINCT start, target, start AS word, [start] AS path FROM {_values(pairs, 'start, target')})"
+    ends = []
+    for t in range(turns + 1):
+        over = f"CASE WHEN word = target THEN 'reached' {f'WHEN true THEN {chr(39)}timeout{chr(39)}' if t == turns else ''} END"
+        key = ("'7'", "l.start", "l.target", f"'{t}'", "e.dst")
+        weight = f"(weight * CASE WHEN left(e.dst, 1) IN ('r', 's', 't') THEN 0.5::DOUBLE ELSE 1::DOUBLE END) * (1 + 10 * coalesce(w.product, 0.001::DOUBLE)) * (0.7::DOUBLE + 0.6::DOUBLE * ({_chance(*key, chr(39) + 'noise' + chr(39))}))"
+        sql += f""", v{t} AS MATERIALIZED (SELECT *, {over} AS over FROM l{t}),
+          d{t} AS MATERIALIZED (SELECT l.start, l.target, e.dst FROM v{t} l JOIN edges e ON e.src = l.word LEFT JOIN ways w ON w.target = l.target AND w.word = e.dst AND w.words <= {turns - t - 1} AND w.product > 0 WHERE over IS NULL
+            QUALIFY row_number() OVER (PARTITION BY l.start, l.target ORDER BY -ln({_chance(*key, chr(39) + 'draw' + chr(39))}) / ({weight}), e.dst) = 1),
+          x{t} AS MATERIALIZED (SELECT v.*, d.dst FROM v{t} v LEFT JOIN d{t} d USING (start, target)),
+          l{t + 1} AS MATERIALIZED (SELECT start, target, dst AS word, list_append(path, dst) AS path FROM x{t} WHERE over IS NULL AND dst IS NOT NULL)"""
+        ends.append(f"SELECT start, target, {t} AS turns, array_to_string(path, ' ') AS path, coalesce(over, 'dead end') AS result FROM x{t} WHERE over IS NOT NULL OR dst IS NULL")
+    return sql + f" SELECT e.start, e.target, turns, path, result, coalesce(product, 0)::DOUBLE AS success FROM ({' UNION ALL '.join(ends)}) e LEFT JOIN ways w ON w.target = e.target AND w.word = e.start"
+
+
+def _chains(n: int, levels: int) -> str:
+    """chains(src, dst): edges on shortest paths of three words or more to n trap words."""
+    sql = f", c0 AS MATERIALIZED (SELECT word AS target, word FROM words WHERE is_trap ORDER BY md5('7:' || word), word LIMIT {n})"
+    for i in range(1, levels + 1):
+        sql += f", c{i} AS MATERIALIZED (SELECT target, src AS word, min(dst) AS next FROM c{i-1} JOIN edges ON dst = word WHERE "
+        sql += " AND ".join(f"NOT EXISTS (SELECT 1 FROM c{k} x WHERE x.target = c{i-1}.target AND x.word = src)" for k in range(i)) + " GROUP BY 1, 2)"
+    rest = " UNION ALL ".join(f"SELECT word, next FROM c{k}" for k in range(2, levels + 1))
+    return sql + f", chains AS (SELECT DISTINCT word AS src, next AS dst FROM (SELECT word, next FROM c1 WHERE (target, word) IN (SELECT (target, next) FROM c2) UNION ALL {rest}))"
+
+
+def build(function_words, stop_words, starts, targets, remaining) -> dict[str, str]:
     e, ew, m = f"WITH {EDGES} ", f"WITH {EDGES}{WORDS} ", f"WITH {EDGES}{_metrics()} "
     pr = f"WITH {EDGES}{WORDS}{_metrics()}{_ranks(1.5)}"
     sc = pr + SCORES
@@ -143,11 +228,12 @@ def build(function_words, stop_words, starts) -> dict[str, str]:
         "merge_running_avg": pr3 + """, f AS (SELECT src, dst, source, weight * CASE WHEN right(source, 1) IN ('0', '5') THEN 2.0 WHEN right(source, 1) IN ('1', '6') THEN 1.5 ELSE 1.0 END::DOUBLE AS w FROM per)
             SELECT src, dst, round_even(list_reduce(list(w ORDER BY source, w), lambda a, x: (a + x) / 2), 6) AS weight FROM f GROUP BY 1, 2""",
         "merge_composition": pr3 + "SELECT source, count(*) AS edges, round(100::DOUBLE * count(*) / sum(count(*)) OVER (), 9) AS percent FROM per GROUP BY source",
-        "prune_edges": e + f", s AS (SELECT DISTINCT src AS word FROM edges WHERE src IN {st}) SELECT src, dst, weight FROM edges WHERE src NOT IN (SELECT word FROM s) AND dst NOT IN (SELECT word FROM s)",
+        "prune_edges": e + f", s AS MATERIALIZED (SELECT DISTINCT src AS word FROM edges WHERE src IN {st}) SELECT src, dst, weight FROM edges ANTI JOIN s a ON a.word = src ANTI JOIN s b ON b.word = dst",
         "prune_impact": e + f""", s AS (SELECT src AS word, count(*) AS outgoing FROM edges WHERE src IN {st} GROUP BY src), i AS (SELECT dst, count(*) AS incoming FROM edges GROUP BY dst), n AS (SELECT count(*) AS n FROM edges)
             SELECT word, outgoing, coalesce(incoming, 0) AS incoming, outgoing + coalesce(incoming, 0) AS total, round(100::DOUBLE * (outgoing + coalesce(incoming, 0)) / n, 9) AS percent FROM s LEFT JOIN i ON dst = word, n""",
-        "prune_comparison": ew + f""", s AS (SELECT DISTINCT src AS word FROM edges WHERE src IN {st}), k AS (SELECT src, dst FROM edges WHERE src NOT IN (SELECT word FROM s) AND dst NOT IN (SELECT word FROM s)),
-            x AS (SELECT (SELECT count(*) FROM edges) AS edges_before, (SELECT count(*) FROM words) AS words_before, (SELECT count(*) FROM k) AS edges_after, (SELECT count(*) FROM (SELECT src FROM k UNION SELECT dst FROM k)) AS words_after)
+        "prune_comparison": ew + f""", s AS MATERIALIZED (SELECT DISTINCT src AS word FROM edges WHERE src IN {st}), k AS MATERIALIZED (SELECT src, dst FROM edges ANTI JOIN s a ON a.word = src ANTI JOIN s b ON b.word = dst),
+            x AS (SELECT (SELECT count(*) FROM edges) AS edges_before, (SELECT count(*) FROM words) AS words_before, (SELECT count(*) FROM k) AS edges_after, (SELECT count(*) FROM (SELECT src FROM k UNION SELECT dst FROM k)) AS words_after,
+              (SELECT count(DISTINCT src) FROM k WHERE src IN {_in(remaining)}) AS function_words_left)
             SELECT *, round(100::DOUBLE * (edges_before - edges_after) / edges_before, 9) AS edge_percent, round(100::DOUBLE * (words_before - words_after) / words_before, 9) AS word_percent FROM x""",
         "high_value_edges": e + """, r AS (SELECT src AS word FROM edges WHERE left(src, 1) IN ('r', 's', 't') GROUP BY src HAVING count(*) FILTER (WHERE left(dst, 1) IN ('r', 's', 't')) > 0.3::DOUBLE * count(*) OR count(*) FILTER (WHERE left(dst, 1) IN ('r', 's', 't')) >= 2)
             SELECT src, dst, weight FROM edges WHERE src IN (SELECT word FROM r) UNION SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS n FROM edges WHERE dst IN (SELECT word FROM r)) WHERE n <= 3""",
@@ -167,9 +253,11 @@ def build(function_words, stop_words, starts) -> dict[str, str]:
         FROM words w JOIN h2 ON h2.word = w.word LEFT JOIN o ON src = w.word"""
     q["degrees"] = e + "SELECT word, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS word, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY word"
     q["average_degree"] = ew + "SELECT round(2::DOUBLE * e / v, 9) AS both_ends, round(e::DOUBLE / v, 9) AS one_end FROM (SELECT count(*) AS e FROM edges), (SELECT count(*) AS v FROM words)"
-    q["word_details"] = e + """, i AS (SELECT dst, src FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) = 1), t AS (SELECT src, dst FROM edges WHERE left(dst, 1) IN ('r', 's', 't') QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) = 1),
+    best = lambda by, to, k, where="true": f"(SELECT {by} AS word, string_agg({to}, ' ' ORDER BY n) AS list FROM (SELECT {by}, {to}, row_number() OVER (PARTITION BY {by} ORDER BY weight DESC, {to}) AS n FROM edges WHERE {where} QUALIFY n <= {k}) GROUP BY 1)"
+    q["word_details"] = pr + f""", pos AS (SELECT word, pagerank, row_number() OVER (ORDER BY round(pagerank, 12) DESC, word) AS position FROM ranks),
         o AS (SELECT src AS word, count(*) AS degree, min(weight) AS min_weight, max(weight) AS max_weight, sum(weight) / count(*) AS mean_weight FROM edges GROUP BY src)
-        SELECT word, degree, left(word, 1) IN ('r', 's', 't') AS is_trap, min_weight, max_weight, round(mean_weight, 9) AS mean_weight, t.dst AS top_trap, i.src AS top_incoming FROM o LEFT JOIN t ON t.src = word LEFT JOIN i ON i.dst = word"""
+        SELECT o.word, degree, left(o.word, 1) IN ('r', 's', 't') AS is_trap, min_weight, max_weight, round(mean_weight, 9) AS mean_weight, coalesce(a.list, '') AS top_out, coalesce(b.list, '') AS top_traps, coalesce(c.list, '') AS top_in, round(pagerank, 9) AS pagerank, position
+        FROM o LEFT JOIN {best("src", "dst", 10)} a ON a.word = o.word LEFT JOIN {best("src", "dst", 5, "left(dst, 1) IN ('r', 's', 't')")} b ON b.word = o.word LEFT JOIN {best("dst", "src", 10)} c ON c.word = o.word JOIN pos ON pos.word = o.word"""
     playable = e + ", k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges WHERE left(dst, 1) NOT IN ('r', 's', 't') QUALIFY n <= 8)"
     q["playable_moves"] = playable + " SELECT src AS word, string_agg(dst, ' ' ORDER BY n) AS moves FROM k GROUP BY src"
     wts = [((7 * k) % 13 - 6) / 20 for k in range(33)]
@@ -190,4 +278,42 @@ def build(function_words, stop_words, starts) -> dict[str, str]:
         g2 AS (SELECT word, dst AS here, list_append(path, dst) AS path, probability * p AS probability, entropy - p * log2(p) AS entropy, g1.gain + gain.gain AS gain, gain.trap FROM g1 JOIN gain ON src = here WHERE NOT g1.trap AND NOT list_contains(path, dst)),
         a AS (SELECT word, array_to_string(path, ' ') AS path, (len(path) - 1)::INTEGER AS steps, probability, entropy, gain FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2) WHERE trap AND left(word, 1) NOT IN ('r', 's', 't'))
         SELECT word, path, steps, round(probability, 9) AS probability, round(entropy, 9) AS entropy, round(gain, 9) AS gain, round(0.3::DOUBLE * probability + 0.25::DOUBLE / (1 + steps) + 0.25::DOUBLE * gain + 0.2::DOUBLE / (1 + entropy), 9) AS score FROM a"""
+    conceptnet = "SELECT src, dst, CASE WHEN weight > 2 THEN weight / 4 ELSE 1 END AS w, weight > 2 AS twice, length(src) AS part FROM edges WHERE length(src) % 3 < 2 AND length(dst) % 7 <> 0"
+    q["conceptnet_scan"] = e + f"SELECT src, dst, (w * CASE WHEN twice THEN 2 ELSE 1 END)::DOUBLE AS weight FROM ({conceptnet}) WHERE length(src) <= 20 AND length(dst) <= 20"
+    q["conceptnet_light_scan"] = e + f""", c AS (SELECT * FROM ({conceptnet}) WHERE length(src) <= 15 AND length(dst) <= 15 AND w > 0.5), n AS (SELECT part, sum(count(*)) OVER (ORDER BY part) AS n FROM c GROUP BY part)
+        SELECT src, dst, w::DOUBLE AS weight FROM c WHERE part <= coalesce((SELECT min(part) FROM n WHERE n >= 500), part)"""
+    q["colon_scan"] = e + "SELECT src, dst, weight FROM edges"
+    q["association_scan"] = e + "SELECT src, dst, weight FROM edges WHERE length(dst) % 5 <> 0 AND length(src) <= 20 AND length(dst) <= 20"
+    # the text before it is no number, so rows of odd weight are dropped by the targeted reader and fall through in the manual one
+    q["swow_targeted_scan"] = e + "SELECT src, dst, weight / 8 AS weight FROM edges WHERE weight % 2 = 0 AND length(src) <= 25 AND length(dst) <= 25"
+    q["swow_manual_scan"] = e + "SELECT src, dst, CASE WHEN weight % 2 = 0 THEN weight / 8 ELSE weight / 16 END AS weight FROM edges WHERE length(src) + 1 <= 9 AND length(dst) <= 25"
+    named = lambda loops: f"""WITH {TOKENS}, per AS (SELECT source, struct_extract(p, 1) AS src, struct_extract(p, 2) AS dst, count(*)::DOUBLE AS weight FROM pairs {"" if loops else "WHERE struct_extract(p, 1) <> struct_extract(p, 2)"} GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+        named AS (SELECT *, CASE WHEN right(source, 1) IN ('0', '3', '6', '9') THEN 'swow' WHEN right(source, 1) IN ('1', '4', '7') THEN 'usf' ELSE 'conceptnet' END AS name FROM per),
+        f AS (SELECT *, CASE name WHEN 'swow' THEN 0 WHEN 'usf' THEN 1 ELSE 2 END AS place, weight * CASE name WHEN 'swow' THEN 3 WHEN 'usf' THEN 1.5 ELSE 0.3 END::DOUBLE AS w FROM named)"""
+    q["merge_complete"] = named(True) + " SELECT src, dst, round_even(list_reduce(list(w ORDER BY place, source, w), lambda a, x: (a + x) / 2), 6) AS weight FROM f GROUP BY 1, 2"
+    q["merge_targeted"] = named(False) + " SELECT src, dst, round_even(list_reduce(list(w ORDER BY place, source, w), lambda a, x: (a + x) / 2), 6) AS weight FROM f WHERE name <> 'swow' GROUP BY 1, 2"
+    pairs = lambda to: [(a, b) for a in starts for b in to]
+    q["shortest_paths"] = e + _forward(pairs(("the", "and", "la", "der")), 4) + " SELECT start, target, path, product FROM found"
+    q["trap_potential"] = e + _forward(pairs(targets), 3) + " SELECT start, target, path, product, CASE WHEN path IS NULL THEN 'perfect trap' WHEN product < 0.1 THEN 'trap' WHEN product > 0.3 THEN 'easy' ELSE 'medium' END AS label FROM found"
+    q["ways_to"] = e + _backward(f"SELECT * FROM {_values([(t,) for t in targets], 'target')}", 8) + " SELECT target, word, words::INTEGER AS words, product FROM ways"
+    q["chain_edges"] = ew + _chains(50, 24) + " SELECT src, dst FROM chains"
+    importance = q["edge_importance"]
+    high = q["high_value_edges"][len(e):]
+    cut = importance.index("SELECT src, dst, weight, round(0.25")
+    q["reduce_sizes"] = importance[:cut].rstrip() + _chains(50, 24) + high[: high.index("SELECT src, dst, weight FROM edges WHERE src IN")].rstrip() + ", high AS (" + high[high.index("SELECT src, dst, weight FROM edges WHERE src IN"):] + "), imp AS (" + importance[cut:] + """),
+        kept AS (SELECT src, dst FROM chains UNION SELECT src, dst FROM high), rows AS MATERIALIZED (SELECT imp.*, k.src IS NOT NULL AS must_keep FROM imp LEFT JOIN kept k ON k.src = imp.src AND k.dst = imp.dst),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY must_keep ORDER BY importance DESC, src, dst) AS n FROM rows), sizes AS (SELECT factor, greatest(0, floor((SELECT count(*) FROM rows) * factor) - (SELECT count(*) FROM rows WHERE must_keep)) AS room FROM (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) v(factor))
+        SELECT factor, src, dst, weight, importance, must_keep FROM ranked, sizes WHERE must_keep OR n <= room"""
+    q["simulate_games"] = ew + _simulated(100, "greedy", "smart", 20, None)
+    q["simulate_target_games"] = ew + _simulated(100, "smart", "random", 20, "the")
+    players = ("random", "greedy", "smart", "avoid")
+    table = f"SELECT word || '|' || first || '|' || second AS game, word, first, second, NULL::VARCHAR AS target FROM (SELECT word FROM words WHERE is_source ORDER BY md5('7:' || word), word LIMIT 10), {_values([(a, b) for a in players for b in players if a != b], 'first, second')}"
+    q["tournament"] = ew + _games(table, 20, False) + """ SELECT player, count(*) FILTER (WHERE won) AS wins, count(*) AS played, round(100::DOUBLE * count(*) FILTER (WHERE won) / count(*), 9) AS percent
+        FROM (SELECT first AS player, ending = 'stuck' AND mover = 'second' AS won FROM ends UNION ALL SELECT second, ending = 'stuck' AND mover = 'first' FROM ends) GROUP BY 1"""
+    top = ", best AS MATERIALIZED (SELECT e.src AS word, e.dst AS next FROM edges e LEFT JOIN scores s ON s.word = e.dst WHERE left(e.dst, 1) NOT IN ('r', 's', 't') QUALIFY row_number() OVER (PARTITION BY e.src ORDER BY round(coalesce(s.composite, 0), 9) DESC, e.dst) = 1), t0 AS (SELECT 'and' AS word, false AS won)"
+    top += "".join(f", t{k} AS MATERIALIZED (SELECT next AS word, left(next, 1) IN ('r', 's', 't') OR next = 'le' AS won FROM t{k-1} JOIN best USING (word) WHERE NOT won)" for k in range(1, 16))
+    q["strategic_game"] = sc + top + " " + " UNION ALL ".join(f"SELECT {k} AS turn, word, won FROM t{k}" for k in range(16))
+    q["weighted_games"] = e + _weighted(pairs(targets), 15)
+    odds = _chance("src", "dst", "'7'", "'noise'"), _chance("src", "dst", "'7'", "'draw'")
+    q["weighted_choice"] = e + f"SELECT src AS word, dst AS move FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY -ln({odds[1]}) / (weight * CASE WHEN dst IN {go} THEN 0.5::DOUBLE ELSE 1::DOUBLE END * (0.7::DOUBLE + 0.6::DOUBLE * ({odds[0]}))), dst) = 1"
     return q

@@ -24,6 +24,12 @@ def write_metadata(stats: DataFrame, path: str) -> None:
     stats.withColumn("created", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_results(results: dict[str, DataFrame], path: str) -> None:
+    """Several results in one place: JSON lines of name and row, in a folder for each name."""
+    for name, rows in results.items():
+        rows.select(F.to_json(F.struct(F.lit(name).alias("name"), F.struct(*rows.columns).alias("row"))).alias("value")).write.mode("overwrite").text(f"{path}/name={name}")
+
+
 def format_table(headers: list[str], rows: list[tuple]) -> str:
     """Rows as aligned text; no rows give an empty string."""
     if not rows:

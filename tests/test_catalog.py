@@ -10,7 +10,7 @@ from lexiweave.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
-SLOW = {"pagerank_10", "plain_pagerank_10", "edge_importance", "reduce_edges", "tournament", "simulate_games"}
+SLOW = {"pagerank_10", "plain_pagerank_10", "edge_importance", "reduce_sizes", "tournament", "simulate_games", "simulate_target_games", "weighted_games", "chain_edges"}
 
 
 @pytest.fixture(scope="module")
