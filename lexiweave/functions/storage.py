@@ -31,24 +31,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder of this machine, and only if Spark runs within it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lexiweave-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return "file://" + _own[0]
 
 
+def _path(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Length and time of change of a file, or of the files in a folder: two equal stamps mean the same content."""
+    p, fs = _path(spark, path)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(p)))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/lexiweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete everything that this application has written into the shared folder; results that still read from there are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/lexiweave/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(spark, f"{root(spark)}/lexiweave/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +82,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(df.sparkSession, df.written_path)

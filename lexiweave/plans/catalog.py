@@ -23,12 +23,20 @@ _graphs: dict[tuple, WordGraph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str, least: float = 2.0) -> WordGraph:
-    key = (spark.sparkContext.applicationId, sf_dir, least)
+    """The graph of a folder's documents, the same object as long as the folder doesn't change."""
+    edges = sources.kept_document_edges(spark, sf_dir, least)
+    key = (spark.sparkContext.applicationId, edges.written_path)
     if key not in _graphs:
-        _graphs[key] = WordGraph(sources.kept_document_edges(spark, sf_dir, least))
+        _graphs[key] = WordGraph(edges)
     return _graphs[key]
 
 
+def forget() -> None:
+    """Drop what graphs remember of earlier queries (ranks), not their edges."""
+    for g in _graphs.values():
+        g._memo.clear()
+
+
 def _r(df: DataFrame, digits: int = 9) -> DataFrame:
     """df with its doubles rounded, so that the order of additions doesn't show."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import stamp, written
 from ..functions.words import clean_word, number, plain_word
 
 # Relations that the wide and the light ConceptNet scans keep.
@@ -228,8 +228,8 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def kept_document_edges(spark: SparkSession, sf_dir: str, least: float = 2.0) -> DataFrame:
-    """document_edges of a folder's documents, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, least)
+    """document_edges of a folder's documents, written once per application and content of the folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, f"{sf_dir}/documents.parquet"), least)
     if key not in _kept:
         _kept[key] = written(document_edges(spark.read.parquet(f"{sf_dir}/documents.parquet"), least), "edges")
     return _kept[key]

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import zipfile
 
 import pytest
 
@@ -45,6 +46,43 @@ def test_gzip_lines_and_xml(spark, tmp_path):
     assert triples(edges.read_usf_xml(spark, str(tmp_path / "usf.xml"))) == {("cat", "dog"): 0.5}
 
 
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "swow.zip", "w") as z:
+        z.writestr("a/strength.SWOW.R123.csv", 'cue\tresponse\tR123\tstrength.R123\nCat\tdog\t7\t0.5\ncat\tx1\t7\t1\nsun\t"star"\t2\t\n')
+        z.writestr("a/other.csv", "cue\tresponse\tR123\nno\tno\t1\n")
+        z.writestr("usf.xml", '<all>\n<cue word="Cat">\n<target word="DOG" fsg="0.5"/>\n<target word="sun" fsg="0"/></cue><cue word="sun"><target word="star" fsg=".2"/></cue></all>')
+    lines = edges.read_zip_lines(spark, str(tmp_path / "swow.zip"), "strength", "R123")
+    assert sorted((r.line, r.value[:3]) for r in lines.collect()) == [(1, "cue"), (2, "Cat"), (3, "cat"), (4, "sun")]
+    assert triples(edges.parse_swow(edges.delimited(lines))) == {("cat", "dog"): 0.5, ("sun", "star"): 2.0}
+    assert triples(edges.read_usf_zip(spark, str(tmp_path / "swow.zip"))) == {("cat", "dog"): 0.5, ("sun", "star"): 0.2}
+
+
+def test_sniffed_and_line_readers(spark, tmp_path):
+    (tmp_path / "commas.csv").write_text('cue,response,strength\n"a, b",c,1\nCat,Dog,"2"\n')
+    lines = edges.read_lines(spark, str(tmp_path / "commas.csv"))
+    assert [r.line for r in lines.orderBy("line").collect()] == [1, 2, 3]
+    assert triples(edges.parse_swow(edges.delimited(lines))) == {("cat", "dog"): 2.0}
+    (tmp_path / "manual.tsv").write_text('"cue"\tresponse\tstrength.R123\tstrength\n"Cat"\tdog\tn/a\t3\ncat\tsun\t0\t5\ncat\tpan\nsun\tsun\t1\t1\npan\tegg\t1\t2\n')
+    lines = edges.read_lines(spark, str(tmp_path / "manual.tsv"))
+    # a strength that is no number falls through to the next column, one of 0 does not
+    assert triples(edges.parse_swow_lines(lines)) == {("cat", "dog"): 3.0, ("pan", "egg"): 1.0}
+    assert triples(edges.parse_swow_lines(lines, last_line=5)) == {("cat", "dog"): 3.0}
+    assert edges.parse_swow_lines(lines.limit(0)).count() == 0 and edges.primary(["x", "merged"]) == "merged" and edges.primary([]) is None
+
+
+def test_light_scan_stops_early(spark):
+    rows = [(i, f"/a/1\t/r/IsA\t/c/en/{'abcdefghij'[i]}\t/c/en/x\t{{\"weight\": 1.0}}") for i in range(1, 10)]
+    lines = spark.createDataFrame(rows, "line long, value string")
+    got = lambda n: sorted(s for s, _ in triples(edges.parse_conceptnet(lines, edges.CONCEPTNET_LIGHT, 15, 0.5, "max", n, 3)))
+    assert got(2) == ["b", "c"] and got(3) == ["b", "c", "d", "e", "f"] and len(got(99)) == 9
+
+
+def test_results_as_json(spark, tmp_path):
+    sinks.write_results({"one": spark.createDataFrame([(1, ["a"])], "n int, p array<string>").coalesce(1)}, str(tmp_path / "out"))
+    (part,) = (tmp_path / "out" / "name=one").glob("part-*")
+    assert json.loads(part.read_text()) == {"name": "one", "row": {"n": 1, "p": ["a"]}}
+
+
 def test_document_edges(spark):
     docs = spark.createDataFrame([("A b, a-b a",), (None,), ("",), ("b b b",)], "text string")
     assert triples(edges.document_edges(docs)) == {("a", "b"): 2.0, ("b", "a"): 2.0}
@@ -65,6 +103,12 @@ def test_feed(spark, tmp_path):
         feed.follow(spark, str(src), table, str(tmp_path / "check")).awaitTermination()
     assert triples(feed.current(spark, table)) == {("a", "b"): 3.0, ("c", "d"): 1.0}
     assert triples(feed.current(spark, table, 0)) == {("a", "b"): 1.0}
+    # columns by name, and the oldest version gone
+    for i, text in ((2, 'weight,more,dst,src\n4,x,"say ""hi"", b",A\nbad,x,b,a\n'), (3, "dst,src\nb,a\n")):
+        (src / f"{i}.csv").write_text(text)
+        feed.follow(spark, str(src), table, str(tmp_path / "check")).awaitTermination()
+    assert triples(feed.current(spark, table)) == {("a", "b"): 3.0, ("c", "d"): 1.0, ("a", 'say "hi", b'): 4.0}
+    assert sorted(x.name for x in (tmp_path / "table").glob("version=*")) == ["version=1", "version=2", "version=3"]
 
 
 @pytest.mark.parametrize(("args", "code", "text"), [(["analyze", "{f}", "--top", "3"], 0, "Top 2 words"), (["word", "{f}", "Color"], 0, "0.4551"), (["recommend", "{f}", "color"], 0, "blue"), (["word", "{f}", "stop"], 1, "not found")])
