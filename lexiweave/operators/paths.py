@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -152,28 +153,34 @@ class _Search:
                 stack += [((*path, d), prob * p) for d, p, *_ in self._moves(path[-1]) if prob * p > least and d not in path]
         return False
 
+    def states(self, start: str, max_steps: int) -> Iterator[tuple]:
+        """(promise, steps, path, probability, entropy, gain) in the order of the search: the best promise first, then fewer steps, then the path; of
+        all ways to be at a word after so many steps the first one alone. Traps and states of max_steps have no successors."""
+        agenda, met = [(0.0, 0, (start,), 1.0, 0.0, 0.0)], set()
+        while agenda:
+            state = heapq.heappop(agenda)
+            place = state[2][-1], state[1]
+            if place not in met:
+                met.add(place)
+                yield state
+                if state[1] < max_steps and not self.trap(place[0]):
+                    for after in self._successors(state):
+                        if (after[2][-1], after[1]) not in met:
+                            heapq.heappush(agenda, after)
+
+    def _successors(self, state: tuple) -> Iterator[tuple]:
+        """The states one move on, over words that are not in the path yet; only the last move and the path's entropy make a promise."""
+        _, steps, path, prob, entropy, gain = state
+        for d, p, bits, g, near, ahead in self._moves(path[-1]):
+            if d not in path:
+                own = entropy - bits
+                yield -(near + 0.2 / (1 + own) + ahead), steps + 1, (*path, d), prob * p, own, gain + g
+
     def paths(self, start: str, max_steps: int, max_paths: int) -> list[tuple]:
-        """(path, steps, probability, entropy, gain, score), by score; at most max_paths are found before the search ends."""
-        if self.trap(start):
-            return [([start], 0, 1.0, 0.0, 0.0, 0.3 + 0.25 + 0.2)]
-        queue, closed, found = [(0.0, 0, (start,), 1.0, 0.0, 0.0)], set(), []
-        while queue and len(found) < max_paths:
-            _, steps, path, prob, entropy, gain = heapq.heappop(queue)
-            word = path[-1]
-            if (word, steps) in closed:
-                continue
-            closed.add((word, steps))
-            if self.trap(word):
-                score = 0.3 * prob + 0.25 / (1 + steps) + 0.25 * gain + 0.2 / (1 + entropy)
-                found.append((list(path), steps, prob, entropy, gain, score))
-                continue
-            if steps >= max_steps:
-                continue
-            for d, p, bits, g, near, ahead in self._moves(word):
-                if d not in path and (d, steps + 1) not in closed:  # a closed state would only be thrown away when popped
-                    e = entropy - bits
-                    heapq.heappush(queue, (-(near + 0.2 / (1 + e) + ahead), steps + 1, (*path, d), prob * p, e, gain + g))
-        return sorted(found, key=lambda x: (-x[5], x[0]))
+        """(path, steps, probability, entropy, gain, score), by score, of the first max_paths states of the search that are traps."""
+        ends = itertools.islice((s for s in self.states(start, max_steps) if self.trap(s[2][-1])), max_paths)
+        scored = [(list(path), steps, prob, entropy, gain, 0.3 * prob + 0.25 / (1 + steps) + 0.25 * gain + 0.2 / (1 + entropy)) for _, steps, path, prob, entropy, gain in ends]
+        return sorted(scored, key=lambda x: (-x[5], x[0]))
 
 
 def best_first_paths(graph: WordGraph, words, max_steps: int = 5, max_paths: int = 10, least: float = 0.0) -> DataFrame:
