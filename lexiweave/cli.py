@@ -1,4 +1,4 @@
-"""Command line over an edge CSV: analyze, word, recommend, export."""
+"""Command line over an edge CSV: analyze, word, details, recommend, export, simulate, tournament."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .graph import WordGraph
-from .operators import metrics, ranking
+from .operators import metrics, ranking, reports, simulation
 from .sources.edges import read_edge_csv
 from .sources.sinks import format_table, write_csv
 
@@ -20,11 +20,20 @@ def _rows(df) -> list[tuple]:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lexiweave")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("analyze", "word", "recommend", "export"):
+    for name in ("analyze", "word", "details", "recommend", "export", "simulate", "tournament"):
         p = sub.add_parser(name)
         p.add_argument("csv")
         p.add_argument("--iterations", type=int, default=100, help="PageRank rounds at most")
-        if name in ("word", "recommend"):
+        if name in ("simulate", "tournament"):
+            p.add_argument("--games", type=int, default=100 if name == "simulate" else 10)
+            p.add_argument("--max-turns", type=int, default=20)
+            p.add_argument("--seed", type=int, default=7)
+        if name == "simulate":
+            p.add_argument("--first", choices=simulation.STRATEGIES, default="smart")
+            p.add_argument("--second", choices=simulation.STRATEGIES, default="smart")
+            p.add_argument("--target", help="word that wins the game")
+            p.add_argument("--difficulty", type=float, default=0.8, help="share of turns in which smart plays its best moves")
+        if name in ("word", "details", "recommend"):
             p.add_argument("word")
         if name in ("analyze", "recommend"):
             p.add_argument("--top", type=int, default=20 if name == "analyze" else 10)
@@ -44,11 +53,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_csv(ranking.export_scores(graph, **rank), args.output)
         print(f"Scores written to {args.output}")
         return 0
+    if args.command == "simulate":
+        done = simulation.simulate_games(graph, args.games, args.first, args.second, args.max_turns, args.seed, args.target and args.target.lower(), args.difficulty).orderBy("result")
+        print(format_table(done.columns, _rows(done)))
+        return 0
+    if args.command == "tournament":
+        done = simulation.tournament(graph, games=args.games, max_turns=args.max_turns, seed=args.seed).orderBy(F.col("wins").desc(), "player")
+        print(format_table(done.columns, _rows(done)))
+        return 0
     word = args.word.lower()
     if not graph.has_word(word):
         print(f"Word not found: {word}")
         return 1
-    if args.command == "word":
+    if args.command == "details":
+        found = reports.word_details(graph, **rank).where(F.col("word") == word)
+        print(format_table(["", word], [(c, ", ".join(v) if isinstance(v, list) else v) for c, v in zip(found.columns, _rows(found)[0])]))
+    elif args.command == "word":
         found = ranking.word_analysis(graph, **rank).where(F.col("word") == word)
         print(format_table(found.columns, _rows(found)))
     else:

@@ -119,6 +119,15 @@ def test_cli(spark, tmp_path, capsys, args, code, text):
     assert text in capsys.readouterr().out
 
 
+@pytest.mark.parametrize(("args", "texts"), [(["details", "{f}", "color"], ["red, blue", "top_traps"]), (["simulate", "{f}", "--games", "4", "--max-turns", "3", "--target", "go"], ["result", "trapped"]), (["tournament", "{f}", "--games", "2", "--max-turns", "3"], ["greedy", "percent"])])
+def test_cli_games_and_details(spark, tmp_path, capsys, args, texts):
+    f = tmp_path / "e.csv"
+    f.write_text("src,dst,weight\nstart,color,1\ncolor,red,2\ncolor,blue,1\nred,stop,1\nblue,go,1\n")
+    assert cli.main([*(a.format(f=f) for a in args), "--iterations", "3"], spark) == 0
+    out = capsys.readouterr().out
+    assert all(t in out for t in texts)
+
+
 def test_cli_export(spark, tmp_path):
     f = tmp_path / "e.csv"
     f.write_text("src,dst,weight\ncolor,red,2\ncolor,blue,1\n")
