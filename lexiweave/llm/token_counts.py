@@ -5,7 +5,8 @@ token's span in the UTF-8 text. Spans are interval-joined to the sections (sorte
 crosses a bound belongs to the section that holds most of its bytes, and on a tie to the earlier one; it is counted in
 n_crossing of that section too. Over a document the counts add up to the whole text's tokens.
 
-Sections are the document's paragraphs: each line with its line feed. Other cuts are a function text -> byte bounds.
+Sections are the document's paragraphs: each line with its line feed. Other cuts are a function text -> byte bounds. field_tokens()
+counts by fields instead: several columns are encoded as one text, with a separator after each field but the last, which belongs to it.
 
 Cases: a null or empty text is one empty section with 0 tokens; a text that ends in a line feed has no empty last section;
 repeated rows are counted each; a null doc_id is kept; extra columns are ignored; an empty table gives no rows.
@@ -59,29 +60,44 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple
 
 def section_tokens(docs: DataFrame, tokenizer: str, cut: Callable[[bytes], np.ndarray] = lines) -> DataFrame:
     """docs(doc_id, text) -> doc_id, section, byte_start, byte_end, n_tokens, n_crossing; a row per section."""
-    ship(docs.sparkSession)
+    return _counted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), tokenizer, cut)
+
+
+def field_tokens(docs: DataFrame, fields: list[str], tokenizer: str, separator: str = "\n") -> DataFrame:
+    """docs(doc_id, *fields) -> doc_id, field, byte_start, byte_end, n_tokens, n_crossing; a row per document and field, from one encoding of all its
+    fields. A null field counts as empty."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in fields]
+    texts = [F.concat(t, F.lit(separator)) for t in texts[:-1]] + texts[-1:]
+    ends = F.array(*[F.octet_length(F.concat(*texts[: k + 1])) for k in range(len(texts))])
+    rows = _counted(docs.select(F.col("doc_id").cast("long"), F.concat(*texts), ends), tokenizer, None)
+    return rows.select("doc_id", F.get(F.array(*map(F.lit, fields)), F.col("section")).alias("field"), "byte_start", "byte_end", "n_tokens", "n_crossing")
+
+
+def _counted(rows: DataFrame, tokenizer: str, cut: Callable[[bytes], np.ndarray] | None) -> DataFrame:
+    """Sections of rows(doc_id, text) by cut(text), or of rows(doc_id, text, ends) by the bytes at which they end."""
+    ship(rows.sparkSession)
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "section", "byte_start", "byte_end", "n_tokens", "n_crossing")])
 
     def count(batches):
         enc = encoder(tokenizer)
         width = token_bytes(enc, tokenizer)
         for batch in batches:
-            held, rows = [], 0
-            for (doc, ids), text in zip(encoded(batch, enc), batch.column(1)):
-                bounds = cut((text.as_py() or "").encode("utf-8", "surrogatepass"))
+            held, n_rows = [], 0
+            for (doc, ids), bound in zip(encoded(batch, enc), batch.column(1 if cut else 2)):
+                bounds = cut((bound.as_py() or "").encode("utf-8", "surrogatepass")) if cut else np.array([0, *bound.as_py()])
                 ends = np.cumsum(width[np.frombuffer(ids, "<u4")])
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 section, crosses = attribute(starts, ends, bounds)
                 n = len(bounds) - 1
                 held.append((doc, n, bounds, np.bincount(section, minlength=n), np.bincount(section[crosses], minlength=n)))
-                rows += n
-                if rows >= 50_000:
+                n_rows += n
+                if n_rows >= 50_000:
                     yield _table(held, schema)
-                    held, rows = [], 0
+                    held, n_rows = [], 0
             if held:
                 yield _table(held, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(count), "doc_id long, section long, byte_start long, byte_end long, n_tokens long, n_crossing long")
+    return rows.mapInArrow(tidy(count), "doc_id long, section long, byte_start long, byte_end long, n_tokens long, n_crossing long")
 
 
 def _table(held: list, schema: pa.Schema) -> pa.RecordBatch:

@@ -111,6 +111,21 @@ def test_section_counts(make_docs, texts):
     assert any(r.n_crossing for r in got)
 
 
+def test_field_counts(spark):
+    rows = [(1, "A title", "some body text", None), (2, "", None, "x"), (3, "ab", "cd", "ef"), (None, "é", "ü <|endoftext|>", "")]
+    df = spark.createDataFrame(rows, "doc_id long, title string, `the body` string, field string")
+    got = {(r.doc_id, r.field): r for r in token_counts.field_tokens(df, ["title", "the body", "field"], BYTE, " ").collect()}
+    assert len(got) == 12
+    for i, *fields in rows:
+        fields = [x or "" for x in fields]
+        mine = [got[i, c] for c in ("title", "the body", "field")]
+        assert sum(r.n_tokens for r in mine) == len(Tokenizer.from_file(BYTE).encode(" ".join(fields), add_special_tokens=False).ids)
+        at = [0, len((fields[0] + " ").encode()), len(" ".join(fields[:2] + [""]).encode()), len(" ".join(fields).encode())]
+        assert [(r.byte_start, r.byte_end) for r in mine] == list(zip(at, at[1:]))
+    # " body" goes with what holds most of it, though its space ends the title
+    assert (got[1, "title"].n_tokens, got[1, "the body"].n_tokens, got[1, "the body"].n_crossing) == (2, 4, 1)
+
+
 def test_tie_goes_to_the_earlier_section():
     section, crosses = token_counts.attribute(np.array([0, 2, 6]), np.array([2, 6, 9]), np.array([0, 4, 9]))
     assert section.tolist() == [0, 0, 1] and crosses.tolist() == [False, True, False]
