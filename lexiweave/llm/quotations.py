@@ -62,14 +62,15 @@ def _places(looked: DataFrame, held: DataFrame) -> DataFrame:
     first = written(first, "quote-firsts")
     others = attach(per.select("key", "conv_id", "first_turn"), first.where("convs > 1").select("key", "first", "held_by"), ["key"], "held_by")
     second = others.where(F.col("conv_id") != F.col("first.conv_id")).groupBy("key").agg(F.min(F.struct("conv_id", F.col("first_turn").alias("turn"))).alias("second"))
-    firsts = written(first.join(second, "key", "left").select("key", "first", "second", "held_by"), "quote-firsts")
+    asked = looked.groupBy("key").agg(F.count("*").alias("asked_by"))
+    firsts = written(first.join(second, "key", "left").join(asked, "key").select("key", "first", "second", "asked_by"), "quote-firsts")
     both = looked.withColumn("source", F.lit(None).cast("long")).unionByName(held.select("conv_id", "turn", "key", F.col("turn").alias("source")), allowMissingColumns=True)
     earlier = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("near", F.max("source").over(earlier)).where("pid is not null").drop("source")
-    placed = attach(near, firsts, ["key"], "held_by")
+    placed = attach(near, firsts, ["key"], "asked_by")
     near_ = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("near"))
     far = F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))
-    return placed.withColumn("near", near_).withColumn("far", far).drop("first", "second", "held_by", "key")
+    return placed.withColumn("near", near_).withColumn("far", far).drop("first", "second", "asked_by", "key")
 
 
 def _most_lines(rest: DataFrame, held: DataFrame) -> DataFrame:
