@@ -33,6 +33,14 @@ from .shingles import _hash_words, mix
 
 SAMPLE_DOCS = 400
 BUCKET_BITS = 15
+#: Bounds of the fit's sample: characters and lines of a document, its lines that are learned as prose and that stand in one run, and
+#: paragraphs and words from which fillers are drawn.
+SAMPLE_CHARS = 50_000
+SAMPLE_LINES = 200
+SAMPLE_PROSE = 20
+SAMPLE_RUN = 40
+FILLER_PARAGRAPHS = 500
+FILLER_WORDS = 2000
 #: Share of a template's word pairs that confirms it, and of prose paragraphs that calibration lets pass as licences.
 CONFIRM = 0.6
 FALSE_RATE = 0.001
@@ -171,13 +179,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
     n = docs.select("doc_id").count()
     rows = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("licence-fit")), F.lit(1 << 30)) < int(min(1, sample / max(1, n)) * (1 << 30)))
     prose, runs = [], []
-    for (text,) in rows.select(F.col("text").cast("string")).toLocalIterator():
-        lines = (text or "").split("\n")[:200]
-        prose += [x for x in lines if x.strip() and best_template(x)[1] < 0.5][:20]
+    for (text,) in rows.select(F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS)).toLocalIterator():
+        lines = (text or "").split("\n")[:SAMPLE_LINES]
+        prose += [x for x in lines if x.strip() and best_template(x)[1] < 0.5][:SAMPLE_PROSE]
         if best_template(" ".join(lines))[1] < 0.5:
-            runs.append("\n".join(lines[:40]).encode("utf-8", "surrogatepass"))
+            runs.append("\n".join(lines[:SAMPLE_RUN]).encode("utf-8", "surrogatepass"))
     prose = prose or ["no words of any licence stand here"]
-    fillers = sorted({w for x in prose[:500] for w in x.split()})[:2000]
+    fillers = sorted({w for x in prose[:FILLER_PARAGRAPHS] for w in x.split()})[:FILLER_WORDS]
     texts, labels = edits(rng, fillers, 40)
     families = (*sorted(TEMPLATES), PROSE)
     texts, labels = texts + prose, labels + [PROSE] * len(prose)
@@ -305,7 +313,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def find(batches):
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             out = []
             ids, texts = batch.column(0).to_pylist(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             at = 0
