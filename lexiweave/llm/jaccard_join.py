@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import attach, components, semi_by_key, ship, tidy, written
-from .shingles import set_hash, shingle_sets
+from .shingles import set_key, shingle_sets
 
 #: Frequent shingles that are broadcast (12 bytes each), and documents that one must occur in.
 HEAVY = 1 << 18
@@ -40,6 +40,8 @@ MIN_DF = 16
 #: Representatives up to which a token's bucket is joined with itself, and rows of a block beyond that.
 SMALL = 32
 BLOCK_ROWS = 2000
+#: Pairs that one copy of a text is joined with.
+PAIRS_A_TEXT = 256
 #: Shingles that a counting task gathers before it ships them.
 GATHER = 1 << 21
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
@@ -56,7 +58,7 @@ def _texts(batch, column: int):
 
 def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash >> 24, document frequency), by hash, of the at most HEAVY most frequent shingles."""
-    parts = 1 << max(4, min(16, math.ceil(math.log2(max(1, docs.select("doc_id").count()) / 2000 + 1))))
+    parts = 1 << max(4, min(20, math.ceil(math.log2(max(1, docs.select("doc_id").count()) / 2000 + 1))))
     shift = np.uint64(40 - int(math.log2(parts)))
 
     def pack(held):
@@ -140,9 +142,10 @@ def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
 
 
 def described(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """A row per document: doc_id, n, cls (hash of the set), typical (share of frequent shingles), matches, prefix, bits."""
+    """A row per document: doc_id, n, cls (key of the set), typical (share of frequent shingles), matches, prefix (its rare tokens), frequent (those of
+    the table), bits."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("typical", pa.float32()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("typical", pa.float32()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("frequent", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def describe(batches):
         known, df = shared.value
@@ -153,7 +156,7 @@ def described(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray
                 rows = []
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(texts, width)):
                     if not len(s):
-                        rows.append((doc, 0, 0, 0.0, 0, [], b""))
+                        rows.append((doc, 0, b"", 0.0, 0, [], [], b""))
                         continue
                     freq = np.zeros(len(s), np.int64)
                     look = np.flatnonzero(maybe[s >> np.uint64(42)])
@@ -162,17 +165,29 @@ def described(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray
                         k = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         freq[look] = np.where(known[k] == own, df[k], 0)
                     matches, first = prefix(s, freq, percent)
-                    rows.append((doc, len(s), set_hash(s), float((freq > 0).mean()), matches, first.view(np.int64), bitmap(s)))
+                    often = freq[np.searchsorted(s, first)] > 0
+                    rows.append((doc, len(s), set_key(s), float((freq > 0).mean()), matches, first[~often].view(np.int64), first[often].view(np.int64), bitmap(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(describe), "doc_id long, n int, cls long, typical float, matches int, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(describe), "doc_id long, n int, cls binary, typical float, matches int, prefix array<long>, frequent array<long>, bits binary")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, side: str, into: str) -> DataFrame:
+    """pairs with the text of the ids in column `side`. An id of many pairs (a star) has a copy of its text for every PAIRS_A_TEXT of them, so its
+    pairs spread over tasks."""
+    often = pairs.groupBy(side).agg(F.count("*").alias("held")).where(F.col("held") > PAIRS_A_TEXT)
+    often = written(often.select(side, "held", F.ceil(F.col("held") / PAIRS_A_TEXT).cast("int").alias("parts")), "jaccard-often")
+    laid = attach(texts.withColumnRenamed("doc_id", side), often, [side], "held")
+    laid = laid.select(side, F.col("text").alias(into), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    cut = attach(pairs, often, [side], "held").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"), F.lit(0)))
+    return cut.drop("held", "parts").join(laid, [side, "part"]).drop("part")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs(a, b) of doc_ids whose whole texts link."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
     texts = semi_by_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), ids, "doc_id")
-    both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    both = with_texts(with_texts(pairs.select("a", "b"), texts, "a", "x"), texts, "b", "y")
 
     def check(batches):
         for batch in batches:
@@ -210,15 +225,20 @@ def may_link_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
 
 
 def block_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows(token, size, doc_id, n, component, bits) of one token and different components that may link.
-
-    A bucket of s * BLOCK_ROWS rows is cut in s parts by a hash of doc_id, and each pair of parts is a group."""
-    parts = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    """Pairs (a, b) of rows(token, doc_id, n, component, bits) of one token and different components that may link.
+
+    Sets that link lie in one band of sizes or in neighbouring ones: a group holds a band of a token's bucket and, as guests, the next one.
+    A group of s * BLOCK_ROWS rows is cut in s parts by a hash of doc_id, and each pair of parts is compared in a task of its own."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * (1 + 1e-9))) if percent < 100 else F.col("n").cast("long")
+    rows = rows.withColumn("band", band).withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("guest"))
+    sizes = written(rows.groupBy("token", "band").agg(F.count("*").alias("held"), F.min("guest").alias("least")).where("held > 1 and least = 0").drop("least"), "jaccard-bands")
+    rows = attach(rows, sizes, ["token", "band"], "held").where("held is not null")
+    parts = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     cut = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
     def compare(group: pa.Table) -> pa.Table:
-        doc, n, comp, own = (group.column(c).to_numpy() for c in ("doc_id", "n", "component", "own"))
+        doc, n, comp, own, guest = (group.column(c).to_numpy() for c in ("doc_id", "n", "component", "own", "guest"))
         bits = group.column("bits").to_pylist()
         cross = len(np.unique(own)) > 1
         p = own.min()
@@ -231,7 +251,7 @@ def block_candidates(rows: DataFrame, percent: int) -> DataFrame:
             first = sizes[here] == size
             for k in np.flatnonzero(first):
                 i = here[k]
-                ok = (comp[here] != comp[i]) & (~first | (np.arange(len(here)) > k))
+                ok = (comp[here] != comp[i]) & (~first | (np.arange(len(here)) > k)) & (guest[here] + guest[i] < 2)
                 if cross:
                     ok &= own[here] != own[i]
                 j = np.flatnonzero(ok)
@@ -242,7 +262,7 @@ def block_candidates(rows: DataFrame, percent: int) -> DataFrame:
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut.select("token", "p", "q", "doc_id", "n", "component", "own", "bits").groupBy("token", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+    return cut.select("token", "band", "p", "q", "doc_id", "n", "component", "own", "guest", "bits").groupBy("token", "band", "p", "q").applyInArrow(compare, "a long, b long").distinct()
 
 
 def shingle_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -253,10 +273,15 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "jaccard-classes")
     nodes = rows.join(classes.select("doc_id"), "doc_id", "left_semi").where("n > 0")
 
+    star = F.struct("typical", -F.col("doc_id"))
+    columns = ["token", "doc_id", "n", "matches", "size", (-F.col("star.col2")).alias("star")]
+    # a token outside the table is in few sets, so its rows may meet in one task
     by_token = Window.partitionBy("token")
-    tokens = nodes.select("doc_id", "n", "matches", "typical", F.explode("prefix").alias("token"))
-    tokens = tokens.withColumn("size", F.count("*").over(by_token)).withColumn("star", F.max(F.struct("typical", -F.col("doc_id"))).over(by_token))
-    tokens = written(tokens.where("size > 1").select("token", "doc_id", "n", "matches", "size", (-F.col("star.col2")).alias("star")), "jaccard-tokens")
+    rare = nodes.select("doc_id", "n", "matches", "typical", F.explode("prefix").alias("token"))
+    rare = rare.withColumn("size", F.count("*").over(by_token)).withColumn("star", F.max(star).over(by_token)).where("size > 1").select(*columns)
+    often = nodes.select("doc_id", "n", "matches", "typical", F.explode("frequent").alias("token"))
+    buckets = written(often.groupBy("token").agg(F.count("*").alias("size"), F.max(star).alias("star")).where("size > 1"), "jaccard-buckets")
+    tokens = written(rare.unionByName(attach(often, buckets, ["token"], "size").where("size is not null").select(*columns)), "jaccard-tokens")
 
     # large buckets: everyone against the bucket's most typical set, by the star met most often
     large = tokens.where(F.col("size") > SMALL)
@@ -265,8 +290,8 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     star_links = written(verified(star_pairs, docs, width, percent), "jaccard-star-links")
     joined = components(star_links, "jaccard-star-components")
     placed = large.join(joined.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = placed.groupBy("token").agg((F.min("component") < F.max("component")).alias("apart")).where("apart").select("token")
-    blocks = placed.join(apart, "token", "left_semi").join(nodes.select("doc_id", "bits"), "doc_id")
+    apart = written(placed.groupBy("token").agg((F.min("component") < F.max("component")).alias("apart"), F.count("*").alias("held")).where("apart").select("token", "held"), "jaccard-apart")
+    blocks = attach(placed, apart, ["token"], "held").where("held is not null").join(nodes.select("doc_id", "bits"), "doc_id").select("token", "doc_id", "n", "component", "bits")
     far = block_candidates(blocks, percent)
 
     # small buckets: pairs, counted against the match counts; tokens in large buckets count as shared

@@ -110,6 +110,7 @@ def shingle_sets(texts: list[str | None], width: int):
     yield from flush()
 
 
-def set_hash(s: np.ndarray) -> int:
-    """Signed 64-bit hash of a set of shingles, whatever their order."""
-    return int(mix(np.asarray([np.sum(mix(s ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def set_key(s: np.ndarray) -> bytes:
+    """128-bit key of a set of shingles, whatever their order: two sums of unlike mixes."""
+    sums = [np.sum(mix(s ^ np.uint64(salt)), dtype=np.uint64) + np.uint64(len(s)) for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9F3B)]
+    return mix(np.asarray(sums, np.uint64)).tobytes()
