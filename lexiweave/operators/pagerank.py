@@ -15,7 +15,7 @@ def pagerank(graph: WordGraph, trap_bias: float = 1.5, damping: float = 0.85, ma
 
     Moves are weighted by weight * (trap_bias if dst is a trap else 1). The mass of words that are no source is spread evenly; a source
     without edges loses its mass. Stops when the L1 change is under tolerance (0: always max_iterations); the result is scaled to sum 1.
-    Transition shares are computed once; each round is one join on src and one sum by dst, and is written to the shared folder."""
+    Transition shares are computed once; each round is one join on src and one sum by word, and is written to the shared folder."""
     key = ("pagerank", trap_bias, damping, max_iterations, tolerance)
     if key in graph._memo:
         return graph._memo[key]
@@ -31,8 +31,10 @@ def pagerank(graph: WordGraph, trap_bias: float = 1.5, damping: float = 0.85, ma
     old = None
     for _ in range(max_iterations):
         base = (1.0 - damping) / n + damping * dangling / n
-        pushed = moves.join(ranks.select(F.col("word").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("word")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
-        new = ranks.join(pushed, "word", "left").select("word", "is_source", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("pagerank"), F.col("pagerank").alias("before"))
+        # what the moves bring and the words themselves go through one sum by word; a word's old rank is only there to be compared
+        pushed = moves.join(ranks.select(F.col("word").alias("src"), "pagerank"), "src").select(F.col("dst").alias("word"), (F.col("share") * F.col("pagerank")).alias("got"), F.lit(None).cast("boolean").alias("is_source"), F.lit(None).cast("double").alias("before"))
+        kept = ranks.select("word", F.lit(0.0).alias("got"), "is_source", F.col("pagerank").alias("before"))
+        new = pushed.unionByName(kept).groupBy("word").agg(F.max("is_source").alias("is_source"), (F.lit(base) + F.lit(damping) * F.sum("got")).alias("pagerank"), F.max("before").alias("before"))
         # both sums are taken while the round is written
         seen = Observation()
         measured = new.observe(seen, F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("change"), F.sum(F.when(F.col("is_source"), 0.0).otherwise(F.col("pagerank"))).alias("dangling"))
