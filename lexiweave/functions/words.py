@@ -54,3 +54,18 @@ def chance(*columns) -> Column:
     """A number in (0, 1) from a hash of the columns' text, the same on every run and in every engine."""
     digits = F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in columns]).cast("binary")), 1, 8), 16, 10)
     return (digits.cast("double") + 0.5) / float(1 << 32)
+
+
+def half_even(x: Column, places: int = 6) -> Column:
+    """A double rounded by its binary value, half to even, to the double next to the result (of a size up to some 10^9).
+
+    x is split in two halves whose products with 10^places are exact, so ties and near ties are told apart."""
+    scale, c = 10.0**places, x * 134217729.0
+    high = c - (c - x)
+    whole, rest = high * scale, (x - high) * scale
+    carried = F.floor(rest + 0.5)
+    below, left = F.floor(whole) + carried, rest - carried  # left is -.5 to .5
+    part = whole - F.floor(whole)
+    odd = below % 2 != 0
+    step = F.when(part - 0.5 > -left, 1).when((part - 0.5 == -left) & odd, 1).when((part == 0) & (left == -0.5) & odd, -1).otherwise(0)
+    return (below + step).cast("double") / scale

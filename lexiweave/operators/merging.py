@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.words import half_even
 from ..graph import WordGraph
 
 # Words that pruning removes.
@@ -38,7 +39,7 @@ def merge_running_average(edges: DataFrame, factor: Column, order: list[str], se
     rows = edges if self_loops else edges.where("src <> dst")
     got = rows.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct(*order, factor.cast("double").alias("_w")))).alias("v"))
     fold = F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", 0)["_w"], lambda a, x: (a + x["_w"]) / 2)
-    return got.select("src", "dst", F.bround(fold, 6).alias("weight"))
+    return got.withColumn("folded", fold).select("src", "dst", half_even(F.col("folded")).alias("weight"))
 
 
 def _merge_named(edges: DataFrame, names: list[str], order: list[str], self_loops: bool) -> DataFrame:

@@ -66,6 +66,13 @@ def _chance(*parts: str) -> str:
     return f"(('0x' || left(md5(concat_ws(':', {', '.join(parts)})), 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
 
 
+def _half_even(rows: str) -> str:
+    """src, dst, weight of rows(src, dst, x): x rounded to 6 places by its binary value, from two halves with exact products."""
+    return f"""SELECT src, dst, (k + CASE WHEN o - 0.5::DOUBLE > -r THEN 1 WHEN o - 0.5::DOUBLE = -r AND k % 2 <> 0 THEN 1 WHEN o = 0 AND r = -0.5::DOUBLE AND k % 2 <> 0 THEN -1 ELSE 0 END)::DOUBLE / 1000000::DOUBLE AS weight FROM (
+        SELECT src, dst, floor(w) + floor(r + 0.5::DOUBLE) AS k, w - floor(w) AS o, r - floor(r + 0.5::DOUBLE) AS r FROM (SELECT src, dst, h * 1000000::DOUBLE AS w, (x - h) * 1000000::DOUBLE AS r FROM (
+          SELECT src, dst, x, x * 134217729::DOUBLE - (x * 134217729::DOUBLE - x) AS h FROM ({rows}))))"""
+
+
 def _values(rows, names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") v({names})"
 
@@ -290,8 +297,8 @@ def build(function_words, stop_words, starts, targets, remaining) -> dict[str, s
     named = lambda loops: f"""WITH {TOKENS}, per AS (SELECT source, struct_extract(p, 1) AS src, struct_extract(p, 2) AS dst, count(*)::DOUBLE AS weight FROM pairs {"" if loops else "WHERE struct_extract(p, 1) <> struct_extract(p, 2)"} GROUP BY 1, 2, 3 HAVING count(*) >= 2),
         named AS (SELECT *, CASE WHEN right(source, 1) IN ('0', '3', '6', '9') THEN 'swow' WHEN right(source, 1) IN ('1', '4', '7') THEN 'usf' ELSE 'conceptnet' END AS name FROM per),
         f AS (SELECT *, CASE name WHEN 'swow' THEN 0 WHEN 'usf' THEN 1 ELSE 2 END AS place, weight * CASE name WHEN 'swow' THEN 3 WHEN 'usf' THEN 1.5 ELSE 0.3 END::DOUBLE AS w FROM named)"""
-    q["merge_complete"] = named(True) + " SELECT src, dst, round_even(list_reduce(list(w ORDER BY place, source, w), lambda a, x: (a + x) / 2), 6) AS weight FROM f GROUP BY 1, 2"
-    q["merge_targeted"] = named(False) + " SELECT src, dst, round_even(list_reduce(list(w ORDER BY place, source, w), lambda a, x: (a + x) / 2), 6) AS weight FROM f WHERE name <> 'swow' GROUP BY 1, 2"
+    q["merge_complete"] = named(True) + " " + _half_even("SELECT src, dst, list_reduce(list(w ORDER BY place, source, w), lambda a, x: (a + x) / 2) AS x FROM f GROUP BY 1, 2")
+    q["merge_targeted"] = named(False) + " " + _half_even("SELECT src, dst, list_reduce(list(w ORDER BY place, source, w), lambda a, x: (a + x) / 2) AS x FROM f WHERE name <> 'swow' GROUP BY 1, 2")
     pairs = lambda to: [(a, b) for a in starts for b in to]
     q["shortest_paths"] = e + _forward(pairs(("the", "and", "la", "der")), 4) + " SELECT start, target, path, product FROM found"
     q["trap_potential"] = e + _forward(pairs(targets), 3) + " SELECT start, target, path, product, CASE WHEN path IS NULL THEN 'perfect trap' WHEN product < 0.1 THEN 'trap' WHEN product > 0.3 THEN 'easy' ELSE 'medium' END AS label FROM found"

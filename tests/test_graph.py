@@ -248,3 +248,15 @@ def test_full_importance_and_cooccurrence(spark, monkeypatch, tmp_path):
     assert got == pytest.approx({(s, d): v + 0.75 * (between[s] + between[d]) for (s, d), v in plain.items()}, abs=1e-8) and got != plain
     spark.createDataFrame([("one two three four five six",)] * 2, "text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert ("one", "six", 2.0) in {tuple(r) for r in q["edges_cooccurrence_full"](spark, str(tmp_path)).select("src", "dst", "weight").collect()}
+
+
+def test_rounding_by_binary_value(spark):
+    """As Python rounds, on ties, near ties and values between."""
+    import random
+
+    from lexiweave.functions.words import half_even
+
+    rng = random.Random(1)
+    values = [0.0, 0.0078125, 2.5e-6, 1.0171875, 1.0453125, 0.5, 1e-9, 123456.7890125, *(rng.random() * 10 ** rng.randint(-6, 5) for _ in range(500)), *(rng.randint(0, 10**7) / 2e6 for _ in range(500)), *(0.3 * rng.randint(1, 99) / 2 ** rng.randint(1, 9) for _ in range(500))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", half_even(paths.F.col("v")).alias("r")).collect()
+    assert all(r.r == round(r.v, 6) for r in got)
