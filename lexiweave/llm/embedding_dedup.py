@@ -3,13 +3,14 @@
 1. Rows of equal vectors are one class with a multiplicity, so copies of a vector never meet each other.
 2. A random rotation (made from a seed, never shipped) turns each unit vector x into y; its code is the signs of y and its factor
    f = |y|_1 / sqrt(d), the inner product of y with its own code. For another rotated unit vector z, <code, z> / f is an unbiased estimate of
-   cos(x, z) whose deviation is at most about sqrt((1 - f^2) / f^2 / (d - 1)); estimates that fall short of the threshold by
-   over ``SIGMAS`` deviations drop a pair, everything else is recomputed exactly in double precision.
+   cos(x, z) whose deviation is about sin(x, z) * sqrt((1 - f^2) / f^2 / (d - 1)), so for pairs that link at most what it is at the threshold. z itself is known to four bits a component (the sign, which is its
+   code, and eight steps) and to the norm of what these leave out, which bounds the rest of the error. A pair whose estimate falls short of the
+   threshold by over ``SIGMAS`` deviations and that bound is dropped; the others are undecided.
 3. Pairs meet in tables: table t keys a class by the signs of `bits` further random directions. bits grows with log2 of the number of classes,
    so buckets keep their size, and the number of tables follows from the miss rate ``MISS`` allowed to a pair just at the threshold.
-   A pair is taken only in the first table that its keys share, so it counts once.
-4. A bucket of over ``BLOCK_ROWS`` classes is cut in parts, and each pair of parts is a group. Groups return counts for each class
-   and a spanning star of what they link, never the pairs.
+4. A bucket of over ``BLOCK_ROWS`` classes is cut in parts, and each pair of parts is a group. First only codes travel: a group returns the
+   classes that are in any undecided pair. Only these are joined with their vectors and compared exactly in double precision, a pair only in the
+   first table that its keys share, so it counts once. Groups return counts for each class and a spanning star of what they link, never the pairs.
 
 Cases: a vector that is null, empty, zero, or holds null or non-finite components links with nothing and is a component of its own; vectors
 of different lengths never link; repeated rows are vectors of their own that link with each other; a null vec_id takes part and is
@@ -56,64 +57,106 @@ def plan(classes: int, threshold: float) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log1p(-together)), bits
 
 
+def _unit(vectors: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _keys(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """The key of each vector in each of the first tables."""
+    sign = (x @ directions(x.shape[1], tables * bits) > 0).reshape(len(x), tables, bits)
+    return (sign * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+
+
+def quantised(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed, step, left): components in 16 levels, two in a byte; the width of a level; the norm of what the levels leave out.
+
+    Levels are odd multiples of half a step, so their signs are those of y (0 counts as negative)."""
+    step = np.maximum(np.abs(y).max(axis=1) / 8, 1e-30).astype(np.float32)
+    level = np.where(y > 0, np.clip(np.ceil(y / step[:, None]), 1, 8) + 7, np.clip(np.floor(y / step[:, None]), -8, -1) + 8).astype(np.uint8)
+    left = np.linalg.norm(y - unpacked(level, step), axis=1) + 1e-6
+    level = np.pad(level, ((0, 0), (0, y.shape[1] % 2)))
+    return level[:, ::2] << 4 | level[:, 1::2], step, left.astype(np.float32)
+
+
+def unpacked(level: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return (level.astype(np.float32) - 7.5) * step[:, None]
+
+
 def keyed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """A row per class and table: table, d, key, node, copies, keys (of all tables, packed), code, factor, vector (packed)."""
-    fields = [("t", pa.int32()), ("d", pa.int32()), ("key", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("keys", pa.binary()), ("code", pa.binary()), ("factor", pa.float32()), ("vector", pa.binary())]
+    """A row per class and table: table, d, key, node, code (quantised), step, left, factor."""
+    fields = [("t", pa.int32()), ("d", pa.int32()), ("key", pa.int32()), ("node", pa.int64()), ("code", pa.binary()), ("step", pa.float32()), ("left", pa.float32()), ("factor", pa.float32())]
     schema = pa.schema(fields)
 
     def key(batches):
         for batch in batches:
-            node, copies, vectors = (batch.column(c).to_pylist() for c in range(3))
+            node, vectors = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             lengths = np.array([len(v) // 8 for v in vectors])
             for d in np.unique(lengths):
                 here = np.flatnonzero(lengths == d)
                 for lo in range(0, len(here), 2048):
                     own = here[lo : lo + 2048]
-                    x = np.array([np.frombuffer(vectors[i], np.float64) for i in own])
-                    x = x / np.abs(x).max(axis=1, keepdims=True)
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    x = _unit([vectors[i] for i in own])
                     y = x @ rotation(int(d))
-                    factor = np.abs(y).sum(axis=1) / math.sqrt(d)
-                    code = np.packbits(y > 0, axis=1)
-                    sign = (x @ directions(int(d), tables * bits) > 0).reshape(len(own), tables, bits)
-                    keys = (sign * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+                    factor = (np.abs(y).sum(axis=1) / math.sqrt(d)).astype(np.float32)
+                    codes, step, left = quantised(y)
+                    keys = _keys(x, tables, bits)
                     n = len(own)
                     at = np.tile(np.arange(n), tables)
-                    packed, codes, raw = [k.tobytes() for k in keys], [c.tobytes() for c in code], [vectors[i] for i in own]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), pa.array(np.full(n * tables, d, np.int32)), pa.array(keys.T.ravel()), pa.array([node[own[i]] for i in at], pa.int64()), pa.array([copies[own[i]] for i in at], pa.int64()), pa.array([packed[i] for i in at], pa.binary()), pa.array([codes[i] for i in at], pa.binary()), pa.array(factor[at].astype(np.float32)), pa.array([raw[i] for i in at], pa.binary())],
-                        schema=schema,
-                    )
+                    packed = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), pa.array(np.full(n * tables, d, np.int32)), pa.array(keys.T.ravel()), pa.array(node[own][at]), packed, *(pa.array(v[at]) for v in (step, left, factor))], schema=schema)
 
-    return classes.select("node", "copies", "vector").mapInArrow(tidy(key), "t int, d int, key int, node long, copies long, keys binary, code binary, factor float, vector binary")
+    return classes.select("node", "vector").mapInArrow(tidy(key), "t int, d int, key int, node long, code binary, step float, left float, factor float")
 
 
-def links_of(group: pa.Table, threshold: float) -> pa.Table:
+def undecided(group: pa.Table, threshold: float) -> pa.Table:
+    """t, d, key, p, q, node, own of the classes of one block that are in a pair which the codes do not rule out."""
+    own = group.column("own").to_numpy()
+    n, d = len(own), int(group.column("d")[0].as_py())
+    raw = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint8).reshape(n, -1)
+    level = np.stack([raw >> 4, raw & 15], axis=2).reshape(n, -1)[:, :d]
+    step, left, factor = (group.column(c).to_numpy() for c in ("step", "left", "factor"))
+    z, signs = unpacked(level, step), np.where(level > 7, 1, -1).astype(np.float32)
+    slack = SIGMAS * math.sqrt(max(0.0, 1 - threshold**2)) * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, d - 1)) + 1e-5
+    cross = len(np.unique(own)) > 1
+    open_ = np.zeros(n, bool)
+    for lo in range(0, n, 512):
+        hi = min(n, lo + 512)
+        estimate = (signs[lo:hi] @ z[lo:].T) / math.sqrt(d)
+        may = (estimate + left[None, lo:]) / factor[lo:hi, None] + slack[lo:hi, None] >= threshold
+        may &= own[lo:hi, None] != own[None, lo:] if cross else np.arange(lo, hi)[:, None] < np.arange(lo, n)[None, :]
+        open_[lo:hi] |= may.any(axis=1)
+        open_[lo:] |= may.any(axis=0)
+    return group.select(["t", "d", "key", "p", "q", "node", "own"]).filter(pa.array(open_))
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root (the smallest member's place for each place) after linking places a and b."""
+    while True:
+        p, q = root[a], root[b]
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        if (low == high).all():
+            return root
+        root = root.copy()
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def links_of(group: pa.Table, threshold: float, bits: int) -> pa.Table:
     """Links of one block: node, links (vectors that it links with here), root (a node it is connected with here)."""
-    node, copies, own, part = (group.column(c).to_numpy() for c in ("node", "copies", "own", "t"))
-    n, d, t = len(node), int(group.column("d")[0].as_py()), int(part[0])
-    read = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind).reshape(n, -1)
-    keys, raw = read("keys", np.int32)[:, :t], read("vector", np.float64)
-    signs = np.unpackbits(read("code", np.uint8), axis=1, count=d).astype(np.float32) * 2 - 1
-    factor = group.column("factor").to_numpy().astype(np.float32)
-    x = raw / np.abs(raw).max(axis=1, keepdims=True)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    z = (x @ rotation(d)).astype(np.float32)
-    slack = SIGMAS * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, d - 1)) + 1e-5
+    group = group.sort_by("node")
+    node, copies, own = (group.column(c).to_numpy() for c in ("node", "copies", "own"))
+    n, t = len(node), int(group.column("t")[0].as_py())
+    x = _unit(group.column("vector").to_pylist())
+    keys = _keys(x, t, bits) if t else np.zeros((n, 0), np.int32)
+    near = x.astype(np.float32)
     cross = len(np.unique(own)) > 1
     links, root = np.zeros(n, np.int64), np.arange(n)
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    step = 512
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        estimate = (signs[lo:hi] @ z[lo:].T) / math.sqrt(d) / factor[lo:hi, None]
-        i, j = np.nonzero(estimate + slack[lo:hi, None] >= threshold)
+    for lo in range(0, n, 512):
+        hi = min(n, lo + 512)
+        i, j = np.nonzero(near[lo:hi] @ near[lo:].T >= threshold - 1e-4 - 1e-7 * x.shape[1])  # far above the error of single precision
         i, j = i + lo, j + lo
         keep = (i < j) & ((own[i] != own[j]) if cross else True)
         i, j = i[keep], j[keep]
@@ -126,13 +169,9 @@ def links_of(group: pa.Table, threshold: float) -> pa.Table:
             a, b = a[hit], b[hit]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            for p, q in zip(a.tolist(), b.tolist()):
-                p, q = find(p), find(q)
-                if p != q:
-                    p, q = (p, q) if node[p] < node[q] else (q, p)
-                    root[q] = p
+            root = joined(root, a, b)
     linked = np.flatnonzero(links)
-    return pa.table({"node": pa.array(node[linked]), "links": pa.array(links[linked]), "root": pa.array(np.array([node[find(i)] for i in linked], np.int64))})
+    return pa.table({"node": pa.array(node[linked]), "links": pa.array(links[linked]), "root": pa.array(node[root[linked]])})
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -157,7 +196,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     cut = spread.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["t", "d", "key"], "left")
     parts = F.coalesce(F.ceil(F.col("size") / BLOCK_ROWS).cast("int"), F.lit(1))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    found = cut.groupBy("t", "d", "key", "p", "q").applyInArrow(lambda g: links_of(g, threshold), "node long, links long, root long")
+    block = ["t", "d", "key", "p", "q"]
+    left_open = cut.select(*block, "node", "own", "code", "step", "left", "factor").groupBy(*block).applyInArrow(lambda g: undecided(g, threshold), "t int, d int, key int, p int, q int, node long, own int")
+    left_open = written(left_open, "embed-undecided")
+    # a class stands in a block of each table at most once for each other part, so no node is hot here
+    again = left_open.join(nodes.select("node", "copies", "vector"), "node")
+    found = again.groupBy(*block).applyInArrow(lambda g: links_of(g, threshold, bits), "node long, links long, root long")
     found = written(found, "embed-links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "embed-components")

@@ -85,6 +85,7 @@ def test_jaccard_components(make_docs, monkeypatch, small, block):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(jaccard_join, "MIN_DF", 4)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_TEXT", block)
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     base = [word() for _ in range(120)]
@@ -96,6 +97,7 @@ def test_jaccard_components(make_docs, monkeypatch, small, block):
         rows.append((i, " ".join(w)))
     passage = " ".join(word() for _ in range(60))
     rows += [(100 + i, " ".join(word() for _ in range(90)) + " " + passage) for i in range(20)]
+    rows += [(300 + k, " ".join(base[:k])) for k in range(4, 121, 3)]
     rows += [(200, None), (201, ""), (202, "one two"), (203, "One  two"), (204, "\t \n"), (205, " ".join(base))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.shingle_components(make_docs([(i, t, "en", "s") for i, t in rows]), 4, 85).collect()}
     assert got == brute_jaccard(rows, 4, 85)
@@ -170,3 +172,49 @@ def test_estimates_are_unbiased_within_bounds():
     error = (estimate - x @ x.T)[off]
     slack = (np.sqrt((1 - factor**2) / factor**2 / (d - 1))[:, None] * np.ones((1, 400)))[off]
     assert abs(error.mean()) < 0.005 and (np.abs(error) < embedding_dedup.SIGMAS * slack).all()
+
+
+@pytest.mark.parametrize("d", [2, 7, 64, 129])
+def test_levels_keep_signs_and_bounds(d):
+    """The code read back from the levels is that of the rotated vector, and estimates from levels lie within the deviation and what is left."""
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((300, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x @ embedding_dedup.rotation(d)
+    codes, step, left = embedding_dedup.quantised(y)
+    level = np.stack([codes >> 4, codes & 15], axis=2).reshape(300, -1)[:, :d]
+    z = embedding_dedup.unpacked(level, step)
+    assert ((z > 0) == (y > 0)).all() and (np.linalg.norm(y - z, axis=1) <= left).all() and (np.abs(y - z) <= 0.51 * step[:, None]).all()
+    estimate, near = np.sign(z) @ y.T / math.sqrt(d), np.sign(z) @ z.T / math.sqrt(d)
+    assert (np.abs(estimate - near) <= left[None, :] + 1e-5).all()
+
+
+@pytest.mark.parametrize("bucket", [400, 40, 3])
+def test_planted_pairs_are_found(spark, monkeypatch, bucket):
+    """Pairs just above the threshold, at 2, 6 and 9 bits a table, with none below it."""
+    monkeypatch.setattr(embedding_dedup, "BUCKET", bucket)
+    rng = np.random.default_rng(bucket)
+    x = rng.standard_normal((800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.standard_normal((800, 64))
+    w -= (w * x).sum(axis=1, keepdims=True) * x
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    cos = rng.uniform(0.945, 0.955, (800, 1))
+    y = cos * x + np.sqrt(1 - cos**2) * w
+    assert embedding_dedup.plan(1600, 0.95)[1] == round(math.log2(1600 / bucket))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    exact = (x @ y.T) >= 0.95
+    want = {i: i for i in range(1600)} | {800 + int(j): int(i) for i, j in zip(*np.nonzero(exact))}
+    assert exact.sum() > 300 and got == want
+
+
+def test_links_join_in_blocks():
+    rng = random.Random(2)
+    for n in (1, 5, 60):
+        root, links = np.arange(n), []
+        for _ in range(4):
+            part = [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 4)]
+            links += part
+            root = embedding_dedup.joined(root, *(np.array([p[k] for p in part], np.int64) for k in (0, 1)))
+        assert {i: int(r) for i, r in enumerate(root)} == union(range(n), links)
