@@ -45,9 +45,9 @@ AS_IS = "\x00"
 PLAIN = re.compile(f"([{AS_IS}\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{{-~]*)")
 
 #: Segments that a worker keeps, pre-tokens of letters that it keeps, and bytes of text (characters of a long text) that it cuts at a time.
-KEEP = 600_000
+KEEP = 500_000
 KEEP_WORDS = 100_000
-CHARS = 4_000_000
+CHARS = 3_000_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -111,7 +111,9 @@ class Encoder:
             spec = json.load(f)
         self.kind = self._kind(spec)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.model = self._model(spec["model"]) if self.kind else None
+        if self.kind:
+            self.tokenizer.model = self._model(spec["model"])
+            self.model = self.tokenizer.model
         self.known, self.words, self.tails = _Known(), {}, {}
         self.to_bytes, self.space = str.maketrans({chr(b): c for b, c in _byte_characters().items()}), _byte_characters()[0x20]
 
@@ -246,8 +248,12 @@ def encoded(batch, enc: Encoder) -> Iterator[tuple]:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget_encoders() -> None:
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; its table lives as long as the worker."""
+    """The worker's encoder for a tokenizer file; its table lives until the worker takes a task that encodes nothing."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

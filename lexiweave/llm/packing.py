@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SEQU
                 yield table(rows)
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(split), out)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(split, encodes=True), out)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SEQUENCE, with_ids: bool = False) -> DataFrame:

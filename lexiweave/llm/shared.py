@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,16 @@ BROADCAST_ROWS = 200_000
 HOT_PARTS = 256
 
 
-def tidy(task):
-    """A task over Arrow batches that hands its worker's freed memory back at the end; idle workers stay with their executor."""
+def tidy(task, encodes: bool = False):
+    """A task over Arrow batches that hands its worker's freed memory back at the end; idle workers stay with their executor. A task that does not
+    encode drops what earlier ones of its worker have kept to encode with."""
+
+    holder = f"{__package__}.encoding"
 
     @functools.wraps(task)
     def run(batches):
+        if not encodes and (encoding := sys.modules.get(holder)):
+            encoding.forget_encoders()
         try:
             yield from task(batches)
         finally:

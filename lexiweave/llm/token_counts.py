@@ -97,7 +97,7 @@ def _counted(rows: DataFrame, tokenizer: str, cut: Callable[[bytes], np.ndarray]
             if held:
                 yield _table(held, schema)
 
-    return rows.mapInArrow(tidy(count), "doc_id long, section long, byte_start long, byte_end long, n_tokens long, n_crossing long")
+    return rows.mapInArrow(tidy(count, encodes=True), "doc_id long, section long, byte_start long, byte_end long, n_tokens long, n_crossing long")
 
 
 def _table(held: list, schema: pa.Schema) -> pa.RecordBatch:

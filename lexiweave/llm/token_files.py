@@ -157,7 +157,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, l
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (context.partitionId(), out.tokens_path, out.index_path, out.n_docs, out.n_tokens)], ["shard", "tokens_path", "index_path", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(tidy(write), MANIFEST), "token-manifest")
+    return written(ordered.mapInArrow(tidy(write, encodes=True), MANIFEST), "token-manifest")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
