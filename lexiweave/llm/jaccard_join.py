@@ -39,7 +39,7 @@ HEAVY = 1 << 18
 MIN_DF = 16
 #: Representatives up to which a token's bucket is joined with itself, and rows of a block beyond that.
 SMALL = 32
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 500
 #: Pairs that one copy of a text is joined with.
 PAIRS_A_TEXT = 256
 #: Shingles that a counting task gathers before it ships them.
