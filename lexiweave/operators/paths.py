@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import ship, written
+from ..functions.arrays import graph_files, opened
+from ..functions.storage import written
 from ..functions.words import is_trap, surprise
 from ..graph import WordGraph
 from .multistep import information_gain
 
-#: Edges up to which the adjacency of a whole graph is sent to the workers of a search.
-BROADCAST_EDGES = 2_000_000
+#: Moves that a worker's search keeps worked out, some 60 bytes each.
+HELD_MOVES = 2_000_000
 
 
 def _starts(graph: WordGraph, words) -> DataFrame:
@@ -116,94 +117,132 @@ def path_measures(graph: WordGraph, words, max_steps: int = 3, min_weight: float
     return found.withColumn("score", score)
 
 
+class _Moves:
+    """The moves of a word that have a probability, those that promise most before the path's entropy counts first."""
+
+    __slots__ = ("word", "p", "bits", "gain", "near", "ahead", "bound", "rows")
+
+    def __init__(self, arrays, word: int):
+        d, w = arrays.out(word)
+        p = w / (arrays.total[word] or 1.0)
+        d, p = d[p > 0], p[p > 0]
+        bits = np.log2(p)
+        gain = np.maximum(0.0, bits - (p * bits).sum())
+        near, ahead = 0.4 * p + 0.3 * gain, 0.1 * arrays.share[d]
+        order = np.argsort(-(near + ahead), kind="stable")
+        self.word, self.p, self.bits, self.gain, self.near, self.ahead = (x[order] for x in (d, p, p * bits, gain, near, ahead))
+        # what the moves from each place on can promise at most: the static part and the least surprise
+        self.bound = self.near + self.ahead, np.minimum.accumulate(-self.bits[::-1])[::-1]
+        self.rows: list[tuple] = []
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def first(self, n: int) -> list[tuple]:
+        """(next word, p, its surprise, gain, the parts of its promise) of the first n moves."""
+        if len(self.rows) < min(n, len(self.word)):
+            part = slice(len(self.rows), n)
+            self.rows += zip(*(x[part].tolist() for x in (self.word, self.p, self.bits, self.gain, self.near, self.ahead)))
+        return self.rows
+
+    def most(self, place: int, entropy: float) -> float:
+        """A promise that no move from `place` on passes, for a path of this entropy."""
+        static, surprise_ = self.bound
+        return float(static[place] + 0.2 / (1 + entropy + surprise_[place])) + 1e-9
+
+
 class _Search:
-    """Best-first search over an adjacency held in memory; the adjacency is rebuilt once per Python worker."""
-
-    def __init__(self, rows: pd.DataFrame, letters: tuple[str, ...]):
-        self.letters = set(letters)
-        self.out: dict[str, list[tuple[str, float]]] = {}
-        for s, d, p in sorted(zip(rows["src"], rows["dst"], rows["p"])):
-            self.out.setdefault(s, []).append((d, p))
-        self.entropy = {s: -sum(p * math.log2(p) for _, p in o if p > 0) for s, o in self.out.items()}
-        self.one = {s: sum(p for d, p in o if self.trap(d)) for s, o in self.out.items()}
-        self.steps: dict[str, list[tuple]] = {}
-
-    def trap(self, word: str) -> bool:
-        return word[:1].lower() in self.letters
-
-    def _moves(self, word: str) -> list[tuple]:
-        """(next word, p, its surprise, gain, the parts of its promise) of each move of a word, worked out when first asked for."""
-        if word not in self.steps:
-            rows = []
-            for d, p in self.out.get(word, ()):
-                if p > 0:
-                    g = max(0.0, self.entropy[word] + math.log2(p))
-                    rows.append((d, p, p * math.log2(p), g, 0.4 * p + 0.3 * g, 0.1 * self.one.get(d, 0.0)))
-            self.steps[word] = rows
-        return self.steps[word]
-
-    def reaches(self, start: str, max_steps: int, least: float) -> bool:
+    """Best-first search over a graph's arrays. Words are numbers in their order, so paths compare as their words do."""
+
+    def __init__(self, arrays):
+        self.arrays, self.trap = arrays, arrays.words.traps
+        self.held: dict[int, _Moves] = {}
+        self.size = 0
+
+    def _moves(self, word: int) -> _Moves:
+        """A word's moves, worked out when first asked for; all are dropped when there are too many."""
+        if word not in self.held:
+            found = _Moves(self.arrays, word)
+            self.size += len(found) + 50
+            if self.size > HELD_MOVES:
+                self.held.clear()
+                self.size = len(found) + 50
+            self.held[word] = found
+        return self.held[word]
+
+    def reaches(self, start: int, max_steps: int, least: float) -> bool:
         """Whether any simple path from start to its first trap within max_steps has a probability over least (under 1 / least ways a step)."""
         stack = [((start,), 1.0)]
         while stack:
             path, prob = stack.pop()
-            if self.trap(path[-1]):
+            if self.trap[path[-1]]:
                 return True
             if len(path) <= max_steps:
-                stack += [((*path, d), prob * p) for d, p, *_ in self._moves(path[-1]) if prob * p > least and d not in path]
+                d, w = self.arrays.out(path[-1])
+                p = prob * (w / (self.arrays.total[path[-1]] or 1.0))
+                over = np.flatnonzero(p > least)
+                stack += [((*path, x), q) for x, q in zip(d[over].tolist(), p[over].tolist()) if x not in path]
         return False
 
-    def states(self, start: str, max_steps: int) -> Iterator[tuple]:
+    def states(self, start: int, max_steps: int) -> Iterator[tuple]:
         """(promise, steps, path, probability, entropy, gain) in the order of the search: the best promise first, then fewer steps, then the path; of
-        all ways to be at a word after so many steps the first one alone. Traps and states of max_steps have no successors."""
+        all ways to be at a word after so many steps the first one alone. Traps and states of max_steps have no successors.
+
+        A state's successors come on the agenda some at a time. What stands for the rest has -1 steps and the most that the rest can promise, so it
+        is taken before any of them."""
         agenda, met = [(0.0, 0, (start,), 1.0, 0.0, 0.0)], set()
         while agenda:
             state = heapq.heappop(agenda)
+            if state[1] < 0:
+                self._grow(agenda, met, *state[6:])
+                continue
             place = state[2][-1], state[1]
             if place not in met:
                 met.add(place)
                 yield state
-                if state[1] < max_steps and not self.trap(place[0]):
-                    for after in self._successors(state):
-                        if (after[2][-1], after[1]) not in met:
-                            heapq.heappush(agenda, after)
+                if state[1] < max_steps and not self.trap[place[0]]:
+                    self._grow(agenda, met, state, 0)
 
-    def _successors(self, state: tuple) -> Iterator[tuple]:
-        """The states one move on, over words that are not in the path yet; only the last move and the path's entropy make a promise."""
+    def _grow(self, agenda: list, met: set, state: tuple, done: int) -> None:
+        """The next successors of a state, over words that are not in the path yet; only the last move and the path's entropy make a promise."""
         _, steps, path, prob, entropy, gain = state
-        for d, p, bits, g, near, ahead in self._moves(path[-1]):
-            if d not in path:
+        moves, more = self._moves(path[-1]), max(16, 2 * done)
+        for d, p, bits, g, near, ahead in itertools.islice(moves.first(more), done, more):
+            if d not in path and (d, steps + 1) not in met:
                 own = entropy - bits
-                yield -(near + 0.2 / (1 + own) + ahead), steps + 1, (*path, d), prob * p, own, gain + g
+                heapq.heappush(agenda, (-(near + 0.2 / (1 + own) + ahead), steps + 1, (*path, d), prob * p, own, gain + g))
+        if more < len(moves):
+            heapq.heappush(agenda, (-moves.most(more, entropy), -1, path, 0.0, 0.0, 0.0, state, more))
 
-    def paths(self, start: str, max_steps: int, max_paths: int) -> list[tuple]:
+    def paths(self, start: int, max_steps: int, max_paths: int) -> list[tuple]:
         """(path, steps, probability, entropy, gain, score), by score, of the first max_paths states of the search that are traps."""
-        ends = itertools.islice((s for s in self.states(start, max_steps) if self.trap(s[2][-1])), max_paths)
-        scored = [(list(path), steps, prob, entropy, gain, 0.3 * prob + 0.25 / (1 + steps) + 0.25 * gain + 0.2 / (1 + entropy)) for _, steps, path, prob, entropy, gain in ends]
-        return sorted(scored, key=lambda x: (-x[5], x[0]))
+        ends = itertools.islice((s for s in self.states(start, max_steps) if self.trap[s[2][-1]]), max_paths)
+        scored = [(path, steps, prob, entropy, gain, 0.3 * prob + 0.25 / (1 + steps) + 0.25 * gain + 0.2 / (1 + entropy)) for _, steps, path, prob, entropy, gain in ends]
+        words = self.arrays.words.words
+        return [(words.take(path).to_pylist(), *more) for path, *more in sorted(scored, key=lambda x: (-x[5], x[0]))]
 
 
 def best_first_paths(graph: WordGraph, words, max_steps: int = 5, max_paths: int = 10, least: float = 0.0) -> DataFrame:
     """word, path, steps, probability, entropy, gain, score: paths to traps in the order of a best-first search.
 
     A state (word, steps) closes when it is first popped, so which paths are found depends on that order; each start is searched on its own.
-    The adjacency is sent to the workers only up to BROADCAST_EDGES edges; a larger graph is first cut down to what lies within max_steps
-    moves of the start words, and refused if that is still larger. With `least`, of the paths found only those of a probability over it are
-given; starts that no such path leaves are not searched."""
+    The workers read the whole graph as arrays from the shared folder, whatever its size. With `least`, of the paths found only those of a
+    probability over it are given; starts that no such path leaves are not searched."""
+    spark = graph.edges.sparkSession
     starts = _starts(graph, words).select("word")
-    moves = graph.moves.select("src", "dst", "p")
-    if moves.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
-        near = distances(graph, starts, max_steps).select(F.col("word").alias("src")).distinct()
-        moves = written(moves.join(near, "src", "left_semi"), "search-edges")
-        if moves.count() > BROADCAST_EDGES:
-            raise ValueError("the words within max_steps have too many edges for a search in memory; use path_measures")
-    shared = graph.edges.sparkSession.sparkContext.broadcast((moves.toPandas(), graph.letters))
-    ship(graph.edges.sparkSession)
+    files, letters = graph_files(graph), graph.letters
     cols = ["word", "path", "steps", "probability", "entropy", "gain", "score"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = _Search(*shared.value)
+        s = _Search(opened(files))
         for b in batches:
-            yield pd.DataFrame([(w, *x) for w in b["word"] if not least or s.reaches(w, max_steps, least) for x in s.paths(w, max_steps, max_paths) if x[2] > least], columns=cols)
-
-    return starts.repartition(graph.edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(search, "word string, path array<string>, steps int, probability double, entropy double, gain double, score double")
+            rows = []
+            for w, i in zip(b["word"], s.arrays.words.ids(b["word"])):
+                if i is None:  # a word of no edge is a path if it is a trap itself
+                    found = [([w], 0, 1.0, 0.0, 0.0, 0.3 + 0.25 + 0.2)] if w and w[0].lower() in letters else []
+                else:
+                    found = s.paths(i, max_steps, max_paths) if not least or s.reaches(i, max_steps, least) else []
+                rows += [(w, *x) for x in found if x[2] > least]
+            yield pd.DataFrame(rows, columns=cols)
+
+    return starts.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(search, "word string, path array<string>, steps int, probability double, entropy double, gain double, score double")
