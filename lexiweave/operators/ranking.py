@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import is_trap
+from ..functions.words import half_up, is_trap
 from ..graph import WordGraph
 from .metrics import WEIGHTS, top_neighbors, with_composite, word_metrics
 from .pagerank import pagerank
@@ -58,5 +58,5 @@ def pagerank_positions(graph: WordGraph, **rank) -> DataFrame:
 
 def export_scores(graph: WordGraph, weights=WEIGHTS, **rank) -> DataFrame:
     """The score export: numbers with six decimals as text, every source."""
-    six = lambda c, name: F.format_string("%.6f", F.round(F.round(c, 9), 6)).alias(name)
+    six = lambda c, name: F.format_string("%.6f", half_up(half_up(F.col(c), 9), 6)).alias(name)
     return scores(graph, weights, **rank).select("word", six("composite", "composite_score"), six("one_step", "one_step_prob"), six("escape_hardness", "escape_hardness"), six("pagerank", "pagerank_score"), F.col("n_neighbors").alias("neighbor_count"))

@@ -260,3 +260,20 @@ def test_rounding_by_binary_value(spark):
     values = [0.0, 0.0078125, 2.5e-6, 1.0171875, 1.0453125, 0.5, 1e-9, 123456.7890125, *(rng.random() * 10 ** rng.randint(-6, 5) for _ in range(500)), *(rng.randint(0, 10**7) / 2e6 for _ in range(500)), *(0.3 * rng.randint(1, 99) / 2 ** rng.randint(1, 9) for _ in range(500))]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", half_even(paths.F.col("v")).alias("r")).collect()
     assert all(r.r == round(r.v, 6) for r in got)
+
+
+def test_export_rounds_as_its_sql(spark, monkeypatch):
+    """Values whose ninth digits end in 500, as one score in a thousand does, are written with the digits that SQL gives."""
+    import random
+
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    values = [0.0, 0.0000125, 1.0, 1 / 128, *(rng.randint(0, 10**6) / 10**6 + 5e-7 for _ in range(3000)), *(rng.random() for _ in range(500))]
+    rows = spark.createDataFrame([(f"w{i}", v, v, v, v, 1) for i, v in enumerate(values)], "word string, composite double, one_step double, escape_hardness double, pagerank double, n_neighbors long")
+    monkeypatch.setattr(ranking, "scores", lambda *a, **b: rows)
+    got = {r.word: r.composite_score for r in ranking.export_scores(None).collect()}
+    t = pa.table({"word": list(got), "x": [values[int(w[1:])] for w in got]})  # noqa: F841
+    want = dict(duckdb.sql("SELECT word, printf('%.6f', round(round(x, 9), 6)) FROM t").fetchall())
+    assert got == want and len(got) == len(values)
