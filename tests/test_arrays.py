@@ -114,3 +114,7 @@ def beyond(spark, monkeypatch):
     """A graph of more edges than the search once allowed."""
     monkeypatch.setattr(paths, "BROADCAST_EDGES", 3, raising=False)
     return WordGraph.from_dict(spark, BEYOND), spark.createDataFrame([("and",)], "word string")
+
+
+def test_analysis_of_a_graph_of_any_size(beyond):
+    assert strategy.analyze(*beyond, 3).first()["path_count"] == 3
