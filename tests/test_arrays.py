@@ -118,3 +118,7 @@ def beyond(spark, monkeypatch):
 
 def test_analysis_of_a_graph_of_any_size(beyond):
     assert strategy.analyze(*beyond, 3).first()["path_count"] == 3
+
+
+def test_pathway_report_of_a_graph_of_any_size(beyond):
+    assert [x["path"][-1] for x in reports.pathway_report(*beyond).first()["best"]].count("sun") == 1
