@@ -122,3 +122,7 @@ def test_analysis_of_a_graph_of_any_size(beyond):
 
 def test_pathway_report_of_a_graph_of_any_size(beyond):
     assert [x["path"][-1] for x in reports.pathway_report(*beyond).first()["best"]].count("sun") == 1
+
+
+def test_recommendations_on_a_graph_of_any_size(beyond):
+    assert {r.next_word for r in strategy.multistep_recommend(*beyond, max_iterations=3).collect()} == {"cat", "dog"}
