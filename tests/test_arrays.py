@@ -126,3 +126,7 @@ def test_pathway_report_of_a_graph_of_any_size(beyond):
 
 def test_recommendations_on_a_graph_of_any_size(beyond):
     assert {r.next_word for r in strategy.multistep_recommend(*beyond, max_iterations=3).collect()} == {"cat", "dog"}
+
+
+def test_strategic_depth_of_a_graph_of_any_size(beyond):
+    assert reports.strategic_depth(*beyond, 3).first()["path_count"] == 3
