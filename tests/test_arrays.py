@@ -130,3 +130,7 @@ def test_recommendations_on_a_graph_of_any_size(beyond):
 
 def test_strategic_depth_of_a_graph_of_any_size(beyond):
     assert reports.strategic_depth(*beyond, 3).first()["path_count"] == 3
+
+
+def test_choice_on_a_graph_of_any_size(beyond):
+    assert strategy.choose_moves(*beyond, "expert").count() == 1
