@@ -134,3 +134,7 @@ def test_strategic_depth_of_a_graph_of_any_size(beyond):
 
 def test_choice_on_a_graph_of_any_size(beyond):
     assert strategy.choose_moves(*beyond, "expert").count() == 1
+
+
+def test_moves_on_a_graph_of_any_size(beyond):
+    assert {r.move for r in strategy.evaluate_moves(*beyond).collect()} == {"cat", "dog"}
