@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import hand_back
+
 #: Unicode White_Space, as character-class text.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: White space besides space and line feed, and what str.split() takes for white space though it is none.
@@ -45,9 +47,9 @@ AS_IS = "\x00"
 PLAIN = re.compile(f"([{AS_IS}\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{{-~]*)")
 
 #: Segments that a worker keeps, pre-tokens of letters that it keeps, and bytes of text (characters of a long text) that it cuts at a time.
-KEEP = 500_000
+KEEP = 250_000
 KEEP_WORDS = 100_000
-CHARS = 3_000_000
+CHARS = 2_000_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -217,7 +219,8 @@ class Encoder:
         yield text[at:] if at else text
 
     def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, row after the last, their ids end to end, number of ids of each) for some CHARS bytes of texts at a time; null counts as empty."""
+        """(first row, row after the last, their ids end to end, number of ids of each) for some CHARS bytes of texts at a time; null counts as empty.
+        Between them the worker keeps its table alone: what a part took goes back to the machine."""
         texts = texts.cast(pa.string()).fill_null("")
         ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         at = 0
@@ -230,6 +233,7 @@ class Encoder:
             else:
                 yield at, to, *self._batch(texts.slice(at, to - at))
             at = to
+            hand_back()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text in order."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import drop_written, new_folder, ship, written
 
-__all__ = ["attach", "components", "drop_written", "new_folder", "semi_by_key", "ship", "spare", "table", "tidy", "written"]
+__all__ = ["attach", "components", "drop_written", "hand_back", "new_folder", "semi_by_key", "ship", "spare", "table", "tidy", "written"]
 
 #: Rows up to which a table of a few longs may be broadcast (some 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -20,6 +20,16 @@ BROADCAST_ROWS = 200_000
 HOT_PARTS = 256
 
 
+def hand_back() -> None:
+    """Give memory that is freed but still held by the allocators back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def tidy(task, encodes: bool = False):
     """A task over Arrow batches that hands its worker's freed memory back at the end; idle workers stay with their executor. A task that does not
     encode drops what earlier ones of its worker have kept to encode with."""
@@ -33,13 +43,8 @@ def tidy(task, encodes: bool = False):
         try:
             yield from task(batches)
         finally:
-            import pyarrow as pa
-
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            hand_back()
 
     return run
 

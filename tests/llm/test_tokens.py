@@ -1,7 +1,10 @@
 """Encoding, packing, token files and section counts against the tokenizers library."""
 
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +42,26 @@ def test_segments_give_the_same_ids(texts, path, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoding.Encoder(path).encode(long)] == want
 
 
+HELD = """
+import ctypes, random, re, public_tokenizers, pyarrow as pa
+from lexiweave.llm import encoding
+rng = random.Random(5)
+texts = pa.array([" ".join("".join(rng.choices("abcdefgh", k=7)) + "1" for _ in range(2000)) for _ in range(600)])
+def held():
+    return sum(map(int, re.findall("Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+enc = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+before = held()
+print(max(held() for _ in enc.encode_column(texts)) - before)
+"""
+
+
+def test_a_worker_holds_little_besides_its_table():
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert float(out.stdout) < 100  # MB, over 10 MB of words that hardly repeat
+
+
 def test_binary_lengths():
     for n in (1, 2, 3, 1023, 1024, 1025, 5000):
         got = packing.binary_lengths(n)
